@@ -215,10 +215,10 @@ def classify(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col
     columns of `docs` come back as they are, of the rows to keep only; a column that is named like one of the
     helper columns doesn't clash, as those start with `__fm_`.
     """
-    share = docs.sparkSession.sparkContext.broadcast(machine)
+    share = docs.sparkSession.sparkContext.broadcast((machine.buckets, machine.w0, machine.w, machine.v))
 
     def make():
-        machine, known = share.value, {}
+        machine, known = Machine(*share.value), {}
         place = dict(zip(machine.buckets.tolist(), range(len(machine.buckets))))
 
         def score(rows) -> np.ndarray:
