@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language_id, pii, quality, secrets
+from . import decontaminate, exact_dedup, language_id, packing, pii, quality, secrets
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
@@ -34,7 +38,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "n_rows")
 
 
-_QUERIES = (op1_quality_classifier, op3_language_id, op4_decontaminate, op8_secret_scan, op9_pii, op10_exact_dedup)
+_QUERIES = (op1_quality_classifier, op2_best_fit_packing, op3_language_id, op4_decontaminate, op8_secret_scan, op9_pii, op10_exact_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
