@@ -66,3 +66,23 @@ def slices(texts: list[str | None], chars: int) -> Iterator[tuple[int, int]]:
         total += n
     if start < len(texts):
         yield start, len(texts)
+
+
+def whole_keys(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables of complete runs of equal keys, from batches that are sorted by a key without nulls. What is held is a
+    batch and the run that goes on beyond it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy()
+        if held and keys[0] != held[-1].column(key)[held[-1].num_rows - 1].as_py():
+            yield pa.Table.from_batches(held)
+            held = []
+        start = int((keys != keys[-1]).sum())  # the last run begins here
+        if start:
+            yield pa.Table.from_batches([*held, batch.slice(0, start)])
+            held = []
+        held.append(batch.slice(start))
+    if held:
+        yield pa.Table.from_batches(held)
