@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language_id, packing, pii, quality, secrets, similarity
+from . import decontaminate, exact_dedup, language_id, language_model, packing, pii, quality, secrets, similarity
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.similar_pairs(table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "n_rows")
 
 
-_QUERIES = (op1_quality_classifier, op2_best_fit_packing, op3_language_id, op4_decontaminate, op7_ngram_jaccard_join, op8_secret_scan, op9_pii, op10_exact_dedup)
+_QUERIES = (op1_quality_classifier, op2_best_fit_packing, op3_language_id, op4_decontaminate, op5_lm_scoring, op7_ngram_jaccard_join, op8_secret_scan, op9_pii, op10_exact_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
