@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import checkpointed, map_batches
 
 #: Labelled documents that the machine is fitted on at most (those with the smallest hash of their id).
 MAX_TRAIN = 16_000
@@ -123,25 +123,27 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def informative(features: list[np.ndarray], good: np.ndarray, min_docs: int, min_chi2: float) -> np.ndarray:
-    """Sorted buckets that occur in enough documents and unevenly enough in the two classes."""
-    found, at, docs = np.unique(np.concatenate([*features, np.zeros(0, np.int32)]), return_inverse=True, return_counts=True)
-    hits = np.bincount(at, np.repeat(good, [len(x) for x in features]), len(found))
-    n, rate = len(good), good.mean()
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi2 = (hits - docs * rate) ** 2 / (docs * rate * (1 - rate)) * (n / (n - docs))
-    return found[(docs >= min_docs) & (docs < n) & (chi2 >= min_chi2)]
+def informative(feats: DataFrame, min_docs: int = MIN_DOCS, min_chi2: float = MIN_CHI2) -> np.ndarray:
+    """Sorted buckets that occur in enough documents and unevenly enough in the two classes, of rows (good, x).
 
-
-def train(features: list[np.ndarray], good: np.ndarray, rank: int = RANK, epochs: int = EPOCHS, min_docs: int = MIN_DOCS, min_chi2: float = MIN_CHI2, seed: int = 7) -> Machine:
-    """Logistic loss, AdaGrad on mini-batches; deterministic. Without both classes among the rows it keeps everything."""
+    They are counted on the executors; only those that are chosen reach the driver.
+    """
+    n, good = feats.agg(F.count("*"), F.sum("good")).first()
+    rate = (good or 0) / max(1, n)
+    if not 0 < rate < 1:
+        return np.zeros(0, np.int32)
+    docs, hits = F.col("docs"), F.col("hits")
+    counts = feats.select("good", F.explode("x").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("docs"), F.sum("good").alias("hits"))
+    chi2 = F.pow(hits - docs * rate, F.lit(2)) / (docs * rate * (1 - rate)) * n / (n - docs)
+    chosen = counts.where((docs >= min_docs) & (docs < n)).where(chi2 >= min_chi2).select("bucket").toArrow()
+    return np.sort(chosen["bucket"].to_numpy())
+
+
+def train(buckets: np.ndarray, rows: list[np.ndarray], good: np.ndarray, rank: int = RANK, epochs: int = EPOCHS, seed: int = 7) -> Machine:
+    """Logistic loss, AdaGrad on mini-batches; deterministic. `rows` holds positions in `buckets`. Without both classes
+    among the rows the machine keeps everything, or nothing if there are bad ones only."""
     if not len(good) or good.min() == good.max():
         return Machine(np.zeros(0, np.int64), 0.0 if not len(good) or good.max() > 0 else -30.0, np.zeros(0), np.zeros((0, rank)))
-    buckets = informative(features, good, min_docs, min_chi2)
-    rows = []
-    for x in features:
-        at = np.searchsorted(buckets, x)
-        rows.append(at[(at < len(buckets)) & (buckets[np.minimum(at, len(buckets) - 1)] == x)] if len(buckets) else at[:0])
     rng = np.random.default_rng(seed)
     m = len(buckets)
     w0, w, v = float(np.log(good.mean() / (1 - good.mean()))), np.zeros(m), rng.normal(0, 0.01, (m, rank))
@@ -195,16 +197,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
         return each
 
-    got = map_batches(sample.select("id", "good", "text", "lang", "source"), "id bigint, good int, digest bigint, x array<int>", make).toArrow()
-    got = got.combine_chunks()
-    ids, digests, marked = (got[c].to_numpy() for c in ("id", "digest", "good"))
-    flat, ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
-    if got.num_rows:
-        lists = got["x"].chunk(0)
-        flat, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-    order = np.lexsort((digests, ids))
-    order = order[np.sort(np.unique(digests[order], return_index=True)[1])]
-    return train([flat[ends[i] : ends[i + 1]] for i in order], marked[order].astype(float))
+    feats = map_batches(sample.select("id", "good", "text", "lang", "source"), "id bigint, good int, digest bigint, x array<int>", make)
+    feats = checkpointed(feats.groupBy("digest").agg(F.min_by(F.struct("id", "good", "x"), "id").alias("r")).select("r.*"))
+    buckets = informative(feats)
+
+    def select():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            x = batch["x"]
+            flat, sizes = x.flatten().to_numpy(), x.value_lengths().to_numpy()
+            at = np.searchsorted(buckets, flat)
+            use = (at < len(buckets)) & (buckets[np.minimum(at, len(buckets) - 1)] == flat) if len(buckets) else np.zeros(len(flat), bool)
+            ends = np.concatenate([[0], np.cumsum(use)])[np.concatenate([[0], np.cumsum(sizes)])]
+            return pa.RecordBatch.from_arrays([batch["id"], batch["good"], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at[use], pa.int32()))], names=["id", "good", "x"])
+
+        return each
+
+    got = map_batches(feats, "id bigint, good int, x array<int>", select).toArrow()
+    order = np.argsort(got["id"].to_numpy(), kind="stable")
+    lists = got["x"].to_pylist()
+    return train(buckets, [np.array(lists[i], np.int64) for i in order], got["good"].to_numpy()[order].astype(float))
 
 
 def classify(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, carry: bool = False) -> DataFrame:
