@@ -14,7 +14,7 @@ from .common import map_batches
 
 #: Shortest candidate, and what the JVM looks for before a text is sent to Python (the same strings).
 MIN_LENGTH = 20
-CANDIDATE = r"[A-Za-z0-9+/=_\-]{20,}"
+CANDIDATE = r"[A-Za-z0-9+/_\-]{20,}={0,2}"  # a sign of equality within parts a name from its value
 
 
 @dataclass(frozen=True)
@@ -103,7 +103,7 @@ def scan(text: str | None) -> list[tuple[int, int, str, float, str]]:
     """
     out = []
     for m in _RX.finditer(text or ""):
-        value = m.group().strip("=-_/") if not m.group().endswith("=") else m.group().lstrip("=-_/")
+        value = m.group().strip("-_/") if not m.group().endswith("=") else m.group().lstrip("-_/")
         start = m.start() + m.group().find(value)
         if len(value) < MIN_LENGTH:
             continue
