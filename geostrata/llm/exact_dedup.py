@@ -159,8 +159,8 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     low, high, n = d.agg(F.min("id"), F.max("id"), F.count("*")).first()
     low, high = low or 0, high or 0
     buckets = max(1, -(-n // (filter_keys * snapshots)))
-    span = max(1, -(-(high - low + 1) // snapshots))
-    batch = F.coalesce(F.floor((F.col("id") - low) / span), F.lit(snapshots - 1)).cast("int")
+    part = (F.col("id").cast("double") - float(low)) / float(high - low + 1) * snapshots  # ids may span more than a bigint
+    batch = F.coalesce(F.least(F.floor(part), F.lit(snapshots - 1)), F.lit(snapshots - 1)).cast("int")
     d = d.select("id", "d1", "d2", batch.alias("snapshot"), F.pmod("d2", F.lit(buckets)).cast("int").alias("bucket"))
     filters = build_filters(d.where(F.col("snapshot") < snapshots - 1).select("snapshot", "bucket", "d1"), buckets)
     positive = screen(d.where(F.col("snapshot") > 0), filters).select("d1", "d2")
