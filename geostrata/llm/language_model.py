@@ -17,6 +17,9 @@ SHARDS_PER_BUCKET = 4
 #: Bytes that are counted at once, bytes of a lane, and lanes that are traversed side by side.
 CHUNK, LANE, LANES = 2_000_000, 1024, 4096
 
+#: What a shard gets of the model, as packed arrays.
+PARTS = ("keys", "alpha", "weight", "bare", "bare_weight")
+
 _TAG = np.uint64(40)  # a key is its order << 40 with its bytes, the last one lowest
 _BYTES = np.uint64((1 << 40) - 1)
 _B8 = np.uint64(8)
@@ -109,14 +112,19 @@ class Automaton:
 
     Arcs of a state lie together in the order of their bytes; a 256-bit map tells which there are and how many come
     before. So a step of many lanes is a handful of array operations, whatever the number of states.
+
+    `bare` are contexts that have arcs in the whole model but none among `keys`, with their weights: they are states
+    that can only be left by their failure arcs.
     """
 
-    def __init__(self, keys: np.ndarray, alpha: np.ndarray, weight: np.ndarray, order: int = ORDER):
+    def __init__(self, keys: np.ndarray, alpha: np.ndarray, weight: np.ndarray, order: int = ORDER, bare: np.ndarray | None = None, bare_weight: np.ndarray | None = None):
         order_of = np.argsort(keys, kind="stable")
         keys, alpha, weight = keys[order_of], alpha[order_of].astype(np.float64), weight[order_of].astype(np.float64)
         self.order = order
         ctx = context(keys)
-        states, first = np.unique(ctx, return_index=True)
+        every, weights = (ctx, weight) if bare is None else (np.concatenate([ctx, bare]), np.concatenate([weight, bare_weight.astype(np.float64)]))
+        states, any_of = np.unique(every, return_index=True)
+        first = np.searchsorted(ctx, states)
         owner = np.searchsorted(states, ctx)
         p = alpha.copy()
         level = (keys >> _TAG).astype(np.int64)
@@ -124,7 +132,7 @@ class Automaton:
         for k in range(2, order + 1):
             at = np.flatnonzero(level == k)
             p[at] += weight[at] * p[np.searchsorted(keys, shorter(keys[at]))]
-        self.log_p, self.log_weight, self.first = np.log2(p), np.log2(weight[first]), first
+        self.log_p, self.log_weight = np.log2(p), np.log2(weights[any_of])
         self.fail = np.searchsorted(states, shorter(states))
         target, self.next = np.where(level == order, shorter(keys), keys), np.zeros(len(keys), np.int64)
         left = np.arange(len(keys))
@@ -233,26 +241,30 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         keys = [np.frombuffer(x, np.uint64) for x in t["keys"].to_pylist()]
         counts = [np.frombuffer(x, np.int32).astype(np.int64) for x in t["counts"].to_pylist()]
         kept, alpha, weight = smooth(*_sum(np.concatenate(keys), np.concatenate(counts)), min_count)
+        contexts, first = np.unique(context(kept), return_index=True)
         rows = []
         for k in keys:
             at = np.searchsorted(kept, k)
             at = at[kept[np.minimum(at, len(kept) - 1)] == k] if len(kept) else at[:0]
-            rows.append((kept[at].tobytes(), alpha[at].astype(np.float32).tobytes(), weight[at].astype(np.float32).tobytes()))
-        return pa.table({"shard": pa.array(shard, pa.int32()), **{c: pa.array(x, pa.binary()) for c, x in zip(("keys", "alpha", "weight"), zip(*rows))}})
+            bare = np.setdiff1d(context(k), context(kept[at]))
+            to = np.searchsorted(contexts, bare)
+            to = to[contexts[np.minimum(to, len(contexts) - 1)] == bare] if len(contexts) else to[:0]
+            rows.append((kept[at], alpha[at].astype(np.float32), weight[at].astype(np.float32), contexts[to], weight[first[to]].astype(np.float32)))
+        return pa.table({"shard": pa.array(shard, pa.int32()), **{c: pa.array([v.tobytes() for v in x], pa.binary()) for c, x in zip(PARTS, zip(*rows))}})
 
     def answer(t: pa.Table, model: pa.Table) -> pa.Table:
         join = lambda c, kind: np.frombuffer(b"".join(model[c].to_pylist()), kind)
         names = ["doc_id", "n_bytes", "log2_prob", "bits_per_byte", "backoffs"]
         if not t.num_rows:
             return pa.table([pa.array([], k) for k in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())], names=names)
-        a = Automaton(join("keys", np.uint64), join("alpha", np.float32), join("weight", np.float32), order)
+        a = Automaton(join("keys", np.uint64), join("alpha", np.float32), join("weight", np.float32), order, join("bare", np.uint64), join("bare_weight", np.float32))
         texts = _raw(t["text"])
         lp, fails = a.score(texts)
         n = np.array([len(x) for x in texts], np.int64)
         return pa.table([t["id"], pa.array(n), pa.array(lp), pa.array(-lp / n), pa.array(fails)], names=names)
 
     counted = full.groupBy("shard").applyInArrow(count, "bucket int, shard int, keys binary, counts binary")
-    parts = counted.groupBy("bucket").applyInArrow(total, "shard int, keys binary, alpha binary, weight binary")
+    parts = counted.groupBy("bucket").applyInArrow(total, "shard int, " + ", ".join(f"{c} binary" for c in PARTS))
     scored = full.groupBy("shard").cogroup(parts.groupBy("shard")).applyInArrow(answer, "doc_id bigint, n_bytes bigint, log2_prob double, bits_per_byte double, backoffs bigint")
     blank = cols.where("text is null or text = ''").selectExpr("id as doc_id", "0L as n_bytes", "cast(null as double) as log2_prob", "cast(null as double) as bits_per_byte", "0L as backoffs")
     return scored.unionByName(blank)
