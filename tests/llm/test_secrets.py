@@ -1,0 +1,44 @@
+import math
+from collections import Counter
+
+from hypothesis import given
+from hypothesis import strategies as st
+
+from geostrata.llm import secrets
+
+KEY = "04dbebab91ab85687d33eeaaf9ac699e1188f96b"
+MIXED = "aB3dE6gH9jK2mN5pQ8rS1tU4vW7x"
+
+
+@given(st.text("abcdef0123456789", max_size=60), st.integers(1, 25))
+def test_entropy_is_that_of_each_window(value, window):
+    n = min(window, len(value))
+    want = max((-sum(c / n * math.log2(c / n) for c in Counter(value[i : i + n]).values()) for i in range(len(value) - n + 1)), default=0) if n else 0
+    assert abs(secrets.window_entropy(value, window) - want) < 1e-9
+
+
+def test_found():
+    for text in (f'token = "{KEY}"', f"key {MIXED} here", f"api_key: {MIXED}==", f"commit\n\npassword={KEY}"):
+        (found,) = secrets.scan(text)
+        assert text[found[0] : found[1]].strip("=") in (KEY, MIXED) and "****" in found[4]
+
+
+def test_left_alone():
+    for text in (
+        f"commit {KEY}", f"sha256: {KEY}", f"https://host/path/{MIXED}", "a" * 60, "123456789012345678901234567890", "this-is-a-long-name-with-hyphens-and-words", "550e8400-e29b-41d4-a716-446655440000",
+        "abababababababababababababab", f"EXAMPLE{MIXED}", "Donaudampfschifffahrtsgesellschaftskapitän", "____________________________", "", None, KEY[:19],
+    ):
+        assert secrets.scan(text) == []
+
+
+def test_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {(r.doc_id, r.span_start, r.span_end) for r in secrets.secrets(docs).collect()}
+    assert got == {(r.doc_id, s[0], s[1]) for r in docs.collect() for s in secrets.scan(r.text)} and len(got) > 5
+
+
+def test_odd_rows(spark, odd, empty):
+    more = odd.selectExpr("doc_id", f"concat(text, ' token={KEY} ') text", "id", "row", "keep")
+    got = secrets.secrets(more).collect()
+    assert len(got) == odd.where("text is not null").count() and {r.doc_id for r in got} >= {None, 2, 4, 5}
+    assert secrets.secrets(odd).count() == secrets.secrets(empty).count() == 0
