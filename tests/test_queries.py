@@ -15,7 +15,7 @@ def test_oracle(spark, name):
 
 @pytest.mark.parametrize("name", sorted(registry.queries().keys() - ORACLES.keys()))
 def test_without_oracle(spark, name):
-    assert registry.queries()[name](spark, SMALL).count() > 0
+    assert registry.queries()[name](spark, "/root/testdata/sf0.01").count() > 0
 
 
 def test_approximate_topk_is_exact_for_few_terms(spark):
