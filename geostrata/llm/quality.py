@@ -198,7 +198,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return each
 
     feats = map_batches(sample.select("id", "good", "text", "lang", "source"), "id bigint, good int, digest bigint, x array<int>", make)
-    feats = checkpointed(feats.groupBy("digest").agg(F.min_by(F.struct("id", "good", "x"), "id").alias("r")).select("r.*"))
+    feats = checkpointed(feats.withColumn("row", F.monotonically_increasing_id()))
+    firsts = feats.groupBy("digest").agg(F.min(F.struct("id", "row")).alias("r")).select("r.row")  # no more than max_train
+    feats = feats.join(F.broadcast(firsts), "row", "left_semi").select("id", "good", "x")
     buckets = informative(feats)
 
     def select():
