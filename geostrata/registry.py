@@ -75,7 +75,7 @@ def _topk_sql(group: str, k: int, where: str = "true") -> str:
         SELECT {by}term, count(*) AS freq FROM (SELECT {by}unnest(tags) AS term FROM o WHERE {where}) GROUP BY ALL)) WHERE rnk <= {k}"""
 
 
-# -- the query language ------------------------------------------------------------------------------------------------
+# the query language
 for _g in GROUPS:
     _on(f"count_by_{_g.replace(' ', '_')}", lambda o, g=_g: executor.execute(o, parse("SELECT count() FROM data" + (f" GROUP BY {', '.join(levels_of(g))}" if g != NONE else ""))), _count_sql(_g))
 
@@ -110,7 +110,7 @@ _on("count_topic", lambda o: executor.execute(o, WarehouseQuery(group="city", to
 _on("topk_lists", lambda o: aggregate.top_lists(aggregate.topk(o, "country", 5), ("country",)).select("country", F.concat_ws(" ", "terms").alias("terms")), f"SELECT country, string_agg(concat(term, ':', freq), ' ' ORDER BY rnk) AS terms FROM ({_topk_sql('country', 5)}) GROUP BY country")
 _on("approximate_topk", lambda o: aggregate.approximate_topk(o, "city", 5))
 
-# -- aggregates from aggregates ----------------------------------------------------------------------------------------
+# aggregates from aggregates
 _SETS = ", ".join(f"({', '.join(levels_of(g))})" for g in GROUPS)
 _GRP = " + ".join(f"CAST(grouping({x}) AS INTEGER) * {64 >> i}" for i, x in enumerate(DIMENSIONS))
 _on("lattice", lambda o: aggregate.lattice(o), f"SELECT {', '.join(DIMENSIONS)}, {_GRP} AS grp, count(*) AS cnt FROM o GROUP BY GROUPING SETS ({_SETS})")
@@ -128,7 +128,7 @@ for _kind, _make in (
     _on(f"cube_{_kind}_topk", lambda o, m=_make: m(o, (), ("city",)).execute(WarehouseQuery(measure="topk", k=4, group="country", range=WIDE)), _topk_sql("country", 4, _in(WIDE)))
     _on(f"cube_{_kind}_fallback", lambda o, m=_make: m(o, ("city",), ()).execute(WarehouseQuery(group="city", range=WIDE, keywords=("click",))), _count_sql("city", f"{_in(WIDE)} AND {_TAG.format('click')}"))
 
-# -- scalars -----------------------------------------------------------------------------------------------------------
+# scalars
 _FINE = Grid(1000, 1000)
 
 
@@ -174,7 +174,7 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _add("parse_messages", lambda s, d: derived(parsed(_messages(s, d))).select("id", "lat", "lon", "text", "country", "city", "week", "hour"), ORACLE + "SELECT id, lat, lon, text, country, city, week, hour FROM o WHERE topic <> 'error'")
 
-# -- lookups and retention ---------------------------------------------------------------------------------------------
+# lookups and retention
 _on("posting_lists", lambda o: lookup.postings(o).groupBy("term").agg(F.count("*").alias("objects")), "SELECT lower(term) AS term, count(*) AS objects FROM (SELECT unnest(tags) AS term FROM o) GROUP BY lower(term)")
 _on("term_lookup", lambda o: lookup.ids_with_words(lookup.postings(o), ("Click", "the", "k3")), f"SELECT id FROM o WHERE {_TAG.format('click')} AND {_TAG.format('k3')}")
 _on("term_lookup_stop_words", lambda o: lookup.ids_with_words(lookup.postings(o), ("the", "of")), "SELECT id FROM o WHERE false")
@@ -184,7 +184,7 @@ _on("cell_lookup", lambda o: lookup.in_cell(o, COARSE, 4, 9).select("id"), f"SEL
 _on("leaf_lookup", lambda o: lookup.in_leaves(o, 3, WIDE, (spatial.node_id(3, 3, 4), spatial.node_id(3, 4, 4))).groupBy("node").agg(F.count("*").alias("objects")), f"SELECT {_node(3)} AS node, count(*) AS objects FROM o WHERE {_in(WIDE)} AND {_node(3)} NOT IN ({spatial.node_id(3, 3, 4)}, {spatial.node_id(3, 4, 4)}) GROUP BY 1")
 _on("latest_ten_hours", lambda o: retention.latest_hours(o).select("id", "hour"), "SELECT id, hour FROM o WHERE hour IN (SELECT DISTINCT hour FROM o ORDER BY hour DESC LIMIT 10)")
 
-# -- a workload: one query for each supplier ---------------------------------------------------------------------------
+# a workload: one query for each supplier
 _WORKLOAD = """, q AS (
   SELECT s_suppkey AS query_id, CAST(s_suppkey * 7919 % 162000 - 90000 AS DOUBLE) / 1000 AS lat_from, CAST(s_suppkey * 104729 % 324000 - 180000 AS DOUBLE) / 1000 AS lon_from,
     CAST(s_suppkey * 7919 % 162000 - 90000 AS DOUBLE) / 1000 + 17.5 AS lat_to, CAST(s_suppkey * 104729 % 324000 - 180000 AS DOUBLE) / 1000 + 35.5 AS lon_to,
@@ -230,7 +230,7 @@ _add(
       SELECT query_id, key, term, count(*) AS freq FROM (SELECT q.query_id, {_KEY} AS key, unnest(o.tags) AS term FROM o JOIN q ON {_MATCH}) GROUP BY ALL)) WHERE rnk <= 3""",
 )
 
-# -- statistics, view selection, partitions ----------------------------------------------------------------------------
+# statistics, view selection, partitions
 _on("objects_by_cell", lambda o: stats.objects_by_cell(o, COARSE), f"SELECT {_row(COARSE)} AS grid_row, {_col(COARSE)} AS grid_col, count(*) AS objects FROM o GROUP BY 1, 2")
 _on("objects_by_node", lambda o: stats.objects_by_node(o, 3), " UNION ALL ".join(f"SELECT {_node(lv)} AS node, count(*) AS objects FROM o GROUP BY 1" for lv in range(4)))
 _on("keys_by_cell", lambda o: stats.cardinality(o, "city day", COARSE), f"SELECT {_row(COARSE)} * 65536 + {_col(COARSE)} AS cell, count(*) AS objects, count(DISTINCT (city, day)) AS keys FROM o GROUP BY 1")
@@ -277,7 +277,7 @@ for _name in partition.PARTITIONERS:
     _add(f"router_{_name.replace('.', '_').replace('-', '')}", _routed(_name))
 _on("router_random", lambda o: o.groupBy(partition.random_partition(8).alias("partition")).agg(F.count("*").alias("objects")))
 
-# -- streams -----------------------------------------------------------------------------------------------------------
+# streams
 _CONTINUOUS = (
     WarehouseQuery(query_id=11, group="city", range=WIDE, sync_seconds=60),
     WarehouseQuery(query_id=12, group="country day", keywords=("view",), sync_seconds=60),

@@ -10,7 +10,8 @@ LAT_MIN, LAT_MAX = -90.0, 90.0
 LON_MIN, LON_MAX = -180.0, 180.0
 
 #: The fourteen tab-separated fields of a message. All are read as strings, so a bad number costs its row, not the read.
-MESSAGE_FIELDS = ("tid", "createtime", "text", "hashtags", "tags", "lat", "lon", "placeid", "placefullname", "country", "screenname", "ulang", "ulocation", "timestamp")
+_BEFORE_TAGS, _AFTER_TAGS = "tid createtime text hashtags", "lat lon placeid placefullname country screenname ulang ulocation timestamp"
+MESSAGE_FIELDS = (*_BEFORE_TAGS.split(), "tags", *_AFTER_TAGS.split())
 MESSAGES = T.StructType([T.StructField(name, T.StringType()) for name in MESSAGE_FIELDS])
 
 #: What has to be known of an object; every other column is derived from these.
@@ -57,7 +58,7 @@ def levels_of(group: str) -> tuple[str, ...]:
 
 
 #: All thirty groupings, the finest first.
-GROUPS = tuple(group_name((s, t, x)) for x, s, t in product(("topic", ""), ("city", "country", ""), ("hour", "day", "week", "month", "")))
+GROUPS = tuple(group_name((s, t, x)) for x, s, t in product(("topic", ""), ("city", "country", ""), (*TIME[::-1], "")))
 
 
 def is_ancestor(fine: str, coarse: str) -> bool:

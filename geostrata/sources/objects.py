@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geostrata.functions import texts, times
-from geostrata.schema import MESSAGE_FIELDS, MESSAGES
+from geostrata.schema import MESSAGE_FIELDS, MESSAGES, TIME
 
 
 def derived(base: DataFrame) -> DataFrame:
     """Objects with their derived columns. Those that a query doesn't use cost nothing: Catalyst drops them."""
-    parts = {x: times.part(F.col("ts"), x) for x in ("year", "month", "week", "day", "hour")}
+    parts = {x: times.part(F.col("ts"), x) for x in ("year", *TIME)}
     return base.withColumns({"date": F.to_date("ts"), **parts, "tags": texts.tags(F.col("text"))})
 
 

@@ -13,6 +13,9 @@ from geostrata.streaming import continuous, ingest, windows
 from tests.compare import SMALL, rows
 
 
+COLUMNS = "id lat lon text city country hour week".split()
+
+
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     """Messages in two files, and lines that are no messages."""
@@ -29,7 +32,7 @@ def good(spark):
 def test_messages(spark, folder):
     read = read_messages(spark, folder)
     o = derived(parsed(read, "t"))
-    assert rows(o.select("id", "lat", "lon", "text", "city", "country", "hour", "week")) == rows(good(spark).select("id", "lat", "lon", "text", "city", "country", "hour", "week"))
+    assert rows(o.select(*COLUMNS)) == rows(good(spark).select(*COLUMNS))
     assert o.select("topic").distinct().first()[0] == "t"
     assert read_messages(spark, folder, limit=3).count() == 3
     assert sample_points(read).count() == 1000 and sample_points(read, 0.5).count() < 1000
