@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from .common import map_batches
 
-#: Consecutive words of an item that mark a text as contaminated; items with fewer words must occur as a whole.
+#: Consecutive words of an item that mark a text as contaminated; items with fewer words must occur as a whole or by a line.
 WINDOW = 13
-#: Items, and lines of items (question, answer), with fewer words are too common to be looked for.
+#: Lines of items (question, answer) with fewer words are too common to be looked for by themselves.
 MIN_WORDS = 8
+#: Whole items with fewer words, that is single words, are too common to be looked for.
+MIN_ITEM_WORDS = 2
 #: Characters of items in one automaton at most; more items make several automata, each of which scans the texts.
 AUTOMATON_CHARS = 16_000_000
 
@@ -30,14 +32,14 @@ def words(text: str | None) -> list[str]:
 def patterns(items: list[tuple[int, str | None]], window: int = WINDOW, min_words: int = MIN_WORDS) -> dict[str, list[int]]:
     """Normalised patterns, each with the items that hold it: whole items, their lines, and windows of words.
 
-    Null and empty items, and what is shorter than `min_words` words, give no pattern.
+    Null and empty items, items of a single word and lines shorter than `min_words` words give no pattern.
     """
     found: dict[str, list[int]] = {}
     for item, text in items:
         whole = words(text)
         parts = [whole, *(words(x) for x in (text or "").split("\n")), *(whole[i : i + window] for i in range(len(whole) - window + 1))]
-        for p in parts:
-            if len(p) >= min(min_words, window):
+        for k, p in enumerate(parts):
+            if len(p) >= (min(min_words, window) if k else MIN_ITEM_WORDS):
                 owners = found.setdefault(f" {' '.join(p).lower()} ", [])
                 if not owners or owners[-1] != item:
                     owners.append(item)
@@ -89,7 +91,8 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     """One row for each span of a document that holds text of a test item.
 
     Whole texts are scanned, case, punctuation and white space aside. Null and empty texts match nothing; an empty
-    benchmark gives an empty result. Items with equal texts are all reported. Repeated rows of `docs` are each
+    benchmark gives an empty result. Items of two words or more are found as a whole, their lines from MIN_WORDS = 8 words
+    on, runs of words from WINDOW = 13 on; items of a single word are not looked for. Items with equal texts are all reported. Repeated rows of `docs` are each
     answered; a null document id stays null, items with a null id are left out. Other columns are ignored.
     """
     cols = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
@@ -120,7 +123,8 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
 def clean(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of `docs`, with all their columns, whose text holds no test item; no shuffle, no second scan.
 
-    Rows with a null or empty text stay, as do all rows if the benchmark is empty.
+    Rows with a null or empty text stay, as do all rows if the benchmark is empty. Items of a single word and, by
+    themselves, lines of items with fewer than MIN_WORDS = 8 words remove nothing (see `contaminated`).
     """
     out = docs
     for found in _automata(bench, item_col, item_text_col):

@@ -43,6 +43,15 @@ def test_spans():
     assert decontaminate.matches(" ".join(f"w{i}" for i in range(12)), b) == []
 
 
+def test_short_items(spark):
+    bench = spark.createDataFrame([(1, "Who wrote it?\nAda Lovelace"), (2, "Two words"), (3, "Paris"), (4, "Capital?\nParis")], "item_id bigint, text string")
+    texts = ["So: who wrote it? Ada Lovelace, they say", "who wrote it", "ada lovelace", "in two words", "in two, three words", "in Paris", "capital paris", "xcapital paris", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id, texts[r.doc_id][r.span_start : r.span_end]) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(0, 1, "who wrote it? Ada Lovelace"), (3, 2, "two words"), (6, 4, "capital paris")}
+    assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == {1, 2, 4, 5, 7, 8}
+
+
 def test_odd_rows(spark, odd, empty):
     schema = "item_id bigint, text string, id int"
     bench = spark.createDataFrame([(1, None, 1), (None, "the quick brown fox jumps over the lazy dog", 1), (2, "", 1), (3, "The quick brown fox; jumps over the lazy dog!", 1), (4, "the quick brown fox jumps over the lazy dog", 1), (5, "one", 1)], schema)
