@@ -35,7 +35,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.similar_pairs(table(spark, sf_dir, "documents"))
+    return similarity.links(table(spark, sf_dir, "documents"))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
