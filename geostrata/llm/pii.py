@@ -15,12 +15,16 @@ from .common import map_batches
 
 KINDS = ("email", "phone", "ip", "card", "ssn")
 LABELS = ("O", *KINDS)
+_EACH = np.arange(len(LABELS))
 #: Tokens of an entity at most: the bound of the dynamic programme.
 MAX_TOKENS = 16
+#: Scores of candidates that a task keeps.
+CACHE = 100_000
 #: Every entity holds one of these characters; texts without them don't leave the JVM.
 TRIGGER = "[0-9@]"
 
-_REGION = re.compile(r"\S*[0-9@]\S*(?:[ \t ]\S*[0-9@]\S*)*")
+_WORD = r"[^\s0-9@]*+[0-9@]\S*+"  # a word with a trigger; it begins at a border only, so no stretch is tried twice
+_REGION = re.compile(rf"(?<!\S){_WORD}(?:[ \t ]{_WORD})*")
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 _LAST_WORD = re.compile(r"([^\W\d_]+)\W*$")
 _RUNS = re.compile(r"\d+|[^\W\d_]+|\s+")
@@ -45,6 +49,20 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _whole(s: str, loose: str) -> list[str]:
+    """Features of a candidate's form as a whole."""
+    out = []
+    if "@" in s:
+        out.append("is email" if _EMAIL.fullmatch(s) else "no email")
+    if loose == "d.d.d.d":
+        out.append("octets" if all(int(x) < 256 for x in s.split(".") if len(x) < 10) and max(map(len, s.split("."))) < 4 else "no octets")
+    digits = re.sub(r"[^0-9]", "", s)
+    if len(digits) >= 13 and loose.replace("_", "").replace("-", "").replace("d", "") == "":
+        out.append(f"long number {12 < len(digits) < 20}")
+        out.append(f"luhn {_luhn(digits)}")
+    return out
+
+
 def span_features(text: str, a: int, b: int) -> tuple[str, ...]:
     """Features of the whole candidate text[a:b] and of what stands around it."""
     s = text[a:b]
@@ -73,33 +91,71 @@ def span_features(text: str, a: int, b: int) -> tuple[str, ...]:
         out.append("goes on")
     if less:
         out.append("began before")
-    if "@" in s:
-        out.append("is email" if _EMAIL.fullmatch(s) else "no email")
-    if loose == "d.d.d.d":
-        out.append("octets" if all(int(x) < 256 for x in s.split(".") if len(x) < 10) and max(map(len, s.split("."))) < 4 else "no octets")
-    if len(digits) >= 13 and loose.replace("_", "").replace("-", "").replace("d", "") == "":
-        out.append(f"long number {12 < len(digits) < 20}")
-        out.append(f"luhn {_luhn(digits)}")
-    return tuple(out)
+    return (*out, *_whole(s, loose))
+
+
+class Tokens:
+    """Tokens of a region, with what the features of all candidates that begin or end with a token have in common."""
+
+    def __init__(self, text: str, a: int, b: int):
+        self.text, self.spans = text, [m.span() for m in _TOKEN.finditer(text, a, b)]
+        self._begins: dict[int, tuple] = {}
+
+    def begin(self, i: int) -> tuple:
+        """Of token i: trigger, shape, loose shape, ASCII digits, signs with the white space after it, and features."""
+        got = self._begins.get(i)
+        if got is None:
+            text, (a, b) = self.text, self.spans[i]
+            s = text[a:b]
+            shape = f"d{min(b - a, 20)}" if s[0].isdigit() else "a" if s[0].isalpha() or s[0].isalnum() else s
+            gap = text[b : self.spans[i + 1][0]] if i + 1 < len(self.spans) else ""
+            before = text[a - 1 : a]
+            word = _LAST_WORD.search(text, max(0, a - 30), a)
+            less = a > 1 and before in ".-@_:/+(" and text[a - 2].isalnum()
+            first = f"first={_class(s[0]) if not s[0].isdigit() else 'digit'}"
+            self._begins.pop(i - 2 * MAX_TOKENS, None)
+            got = self._begins[i] = (
+                s[0].isdigit() or s[0] == "@", shape, "d" if s[0].isdigit() else shape, sum(c in "0123456789" for c in s), frozenset(c for c in s if not c.isalnum()), "_" if gap else "", frozenset(gap),
+                "before=" + _class(before), first, *((f"word={word[1].lower()[:16]}",) if word else ()), *(("began before",) if less else ()),
+            )
+        return got
+
+    def candidates(self, j: int) -> list[tuple[int, tuple[str, ...]]]:
+        """Candidates (begin, features) of at most MAX_TOKENS tokens that end with token j and hold a trigger. The features
+        are those of `span_features`; what belongs to a span is put together from its tokens, from right to left."""
+        text, b = self.text, self.spans[j][1]
+        beyond = text[b : b + 2]
+        more = len(beyond) == 2 and beyond[0] in ".-@_:/" and beyond[1].isalnum()
+        ends = ("after=" + _class(beyond[:1]), f"last={_class(text[b - 1]) if not text[b - 1].isdigit() else 'digit'}")
+        cands, has, shape, loose, digits, found, signs = [], False, "", "", 0, frozenset(), ""
+        for i in range(j, max(-1, j - MAX_TOKENS), -1):
+            trigger, own, bare, n, marks, gap, blank, before, first, *rest = self.begin(i)
+            has |= trigger
+            if i == j:
+                gap, blank = "", frozenset()
+            shape, loose, digits = own + gap + shape, bare + gap + loose, digits + n
+            if not (marks <= found and blank <= found):
+                found = found | marks | blank
+                signs = "".join(sorted(found))[:8]
+            if not has:
+                continue
+            out = ["shape=" + shape[:40], "loose=" + loose[:40], f"digits={min(digits, 24)}", before, ends[0], first, ends[1], "signs=" + signs, "all"]
+            if rest and rest[0] != "began before":
+                out.append(rest[0])
+            if more:
+                out.append("goes on")
+            if rest and rest[-1] == "began before":
+                out.append("began before")
+            if "@" in found or digits >= 13 or loose == "d.d.d.d":
+                out += _whole(text[self.spans[i][0] : b], loose)
+            cands.append((i, tuple(out)))
+        return cands
 
 
 def lattice(text: str, a: int, b: int) -> tuple[list[tuple[int, int]], list[list[tuple[int, tuple[str, ...]]]]]:
-    """Tokens of a region and, for each end, the candidates (begin, features) of at most MAX_TOKENS tokens.
-
-    A candidate holds a trigger. Candidates of one token also serve as the segment that is outside of all entities;
-    tokens without a trigger get the features of their class for that.
-    """
-    tokens = [m.span() for m in _TOKEN.finditer(text, a, b)]
-    trigger = [text[x].isdigit() or text[x] == "@" for x, _ in tokens]
-    ends: list[list[tuple[int, tuple[str, ...]]]] = []
-    for j in range(len(tokens)):
-        cands, has = [], False
-        for i in range(j, max(-1, j - MAX_TOKENS), -1):
-            has |= trigger[i]
-            if has:
-                cands.append((i, span_features(text, tokens[i][0], tokens[j][1])))
-        ends.append(cands)
-    return tokens, ends
+    """Tokens of a region and, for each end, its candidates."""
+    tokens = Tokens(text, a, b)
+    return tokens.spans, [tokens.candidates(j) for j in range(len(tokens.spans))]
 
 
 def _outside(text: str, span: tuple[int, int]) -> tuple[str, ...]:
@@ -113,6 +169,18 @@ class SemiMarkov:
     def __init__(self, weights: dict[str, np.ndarray] | None = None, trans: np.ndarray | None = None):
         self.weights: dict[str, np.ndarray] = {} if weights is None else weights
         self.trans = np.zeros((len(LABELS), len(LABELS))) if trans is None else trans
+        self._known: dict[tuple[str, ...], np.ndarray] = {}
+
+    def entity(self, features: tuple[str, ...]) -> np.ndarray:
+        """The scores of a candidate, of which O is none; kept, as most candidates look like others. For fixed weights."""
+        s = self._known.get(features)
+        if s is None:
+            if len(self._known) > CACHE:
+                self._known.clear()
+            s = self.score(features)
+            s[0] = -np.inf
+            self._known[features] = s
+        return s
 
     def score(self, features: tuple[str, ...]) -> np.ndarray:
         out = np.zeros(len(LABELS))
@@ -122,50 +190,60 @@ class SemiMarkov:
                 out += w
         return out
 
-    def segments(self, text: str, tokens: list, ends: list) -> list[list[tuple[int, np.ndarray, tuple[str, ...]]]]:
-        """For each end: (begin, scores of the labels, features). Outside of entities a segment is one token."""
-        out = []
-        for j, cands in enumerate(ends):
-            segs = []
-            for i, features in cands:
-                s = self.score(features)
-                s[0] = -np.inf
-                segs.append((i, s, features))
-            o = np.full(len(LABELS), -np.inf)
-            features = _outside(text, tokens[j])
-            o[0] = self.score(features)[0]
-            segs.append((j, o, features))
-            out.append(segs)
-        return out
+    def segments(self, text: str, token: tuple[int, int], j: int, cands: list) -> list[tuple[int, np.ndarray, tuple[str, ...]]]:
+        """Of the segments that end with token j: (begin, scores of the labels, features). Outside of entities a segment is
+        one token, with the features of its class."""
+        segs = []
+        for i, features in cands:
+            s = self.score(features)
+            s[0] = -np.inf
+            segs.append((i, s, features))
+        o = np.full(len(LABELS), -np.inf)
+        features = _outside(text, token)
+        o[0] = self.score(features)[0]
+        segs.append((j, o, features))
+        return segs
 
     def decode(self, text: str, a: int, b: int) -> list[tuple[str, int, int]]:
-        """The best segmentation of a region (Viterbi): its entities as (kind, start, end)."""
-        tokens, ends = lattice(text, a, b)
-        if not tokens:
+        """The best segmentation of a region (Viterbi): its entities as (kind, start, end).
+
+        Candidates are made when their end is reached and dropped after it; of each token only the way back stays.
+        """
+        tokens = Tokens(text, a, b)
+        spans = tokens.spans
+        if not spans:
             return []
-        best = [np.array([0.0] + [-np.inf] * (len(LABELS) - 1))]
+        # of each token that a segment may begin with: the best way to it for each label of the segment, and its last label
+        ways = {0: (self.trans[0], np.zeros(len(LABELS), np.int64))}
         back: list[list] = [[]]
-        for segs in self.segments(text, tokens, ends):
-            top, arg = np.full(len(LABELS), -np.inf), [None] * len(LABELS)
-            for i, s, _ in segs:
-                via = best[i][:, None] + self.trans
-                total = via.max(axis=0) + s
-                for y in np.flatnonzero(total > top):
-                    top[y], arg[y] = total[y], (i, int(via[:, y].argmax()))
-            best.append(top)
-            back.append(arg)
-        j, y, out = len(tokens), int(best[-1].argmax()), []
+        for j, span in enumerate(spans):
+            cands = tokens.candidates(j)
+            outside = self._known.get(key := _outside(text, span))
+            if outside is None:
+                outside = np.full(len(LABELS), -np.inf)
+                outside[0] = self.score(key)[0]
+                self._known[key] = outside
+            begins = [*(i for i, _ in cands), j]
+            total = np.stack([ways[i][0] for i in begins]) + np.stack([*(self.entity(f) for _, f in cands), outside])
+            arg = total.argmax(axis=0)
+            top = total[arg, _EACH]
+            back.append([(begins[k], int(ways[begins[k]][1][y])) for y, k in enumerate(arg.tolist())])
+            via = top[:, None] + self.trans
+            last = via.argmax(axis=0)
+            ways[j + 1] = via[last, _EACH], last
+            ways.pop(j - MAX_TOKENS, None)
+        j, y, out = len(spans), int(top.argmax()), []
         while j:
             i, before = back[j][y]
             if y:
-                out.append((LABELS[y], tokens[i][0], tokens[j - 1][1]))
+                out.append((LABELS[y], spans[i][0], spans[j - 1][1]))
             j, y = i, before
         return out[::-1]
 
     def gradient(self, text: str, tokens: list, ends: list, gold: list[tuple[int, int, int]]) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Observed less expected feature counts: the gradient of the conditional log-likelihood (forward-backward)."""
-        segs = self.segments(text, tokens, ends)
         n = len(tokens)
+        segs = [self.segments(text, tokens[j], j, ends[j]) for j in range(n)]
         alpha = np.full((n + 1, len(LABELS)), -np.inf)
         beta = np.full((n + 1, len(LABELS)), -np.inf)
         alpha[0, 0], beta[n] = 0, 0
@@ -277,7 +355,7 @@ def trained(sentences: int = 300, epochs: int = 3, seed: int = 11) -> SemiMarkov
             tokens, ends = lattice(text, a, b)
             begins, finishes = {x: i for i, (x, _) in enumerate(tokens)}, {y: i for i, (_, y) in enumerate(tokens)}
             gold = [(begins[x], finishes[y], LABELS.index(k)) for k, x, y in marks if x in begins and y in finishes]
-            if tokens and len(tokens) <= 60:
+            if tokens:
                 rows.append((text, tokens, ends, gold))
     seen: dict[str, np.ndarray] = {}
     total = np.full_like(model.trans, 1e-6)
