@@ -1,25 +1,73 @@
 import re
 
-from geostrata.llm import decontaminate
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from geostrata.llm import decontaminate, queries
 
 SF = "/root/testdata/sf0.01"
 
 
+def patterns(items, window=13):
+    """All that counts as an item's text, one pattern for each: whole items, lines and every window of words."""
+    found = {}
+    for item, text in items:
+        words = lambda t: re.findall(r"\w+", t or "")
+        whole = words(text)
+        parts = [whole] * (len(whole) > 1) + [x for x in map(words, (text or "").split("\n")) if len(x) > 7] + [whole[i : i + window] for i in range(len(whole) - window + 1)]
+        for p in parts:
+            found.setdefault(f" {' '.join(p).lower()} ", set()).add(item)
+    return found
+
+
 def brute(docs, items):
     """(doc, item) by comparing each pattern with each text, word by word."""
     out = set()
-    found = decontaminate.patterns(items)
+    found = patterns(items)
     for doc, text in docs:
         normal = f" {' '.join(re.findall(r'\w+', text or '')).lower()} "
         out |= {(doc, i) for p, owners in found.items() if p in normal for i in owners}
     return out
 
 
+def covered(text, items):
+    """{item: positions of the text's words that a pattern covers}, pattern by pattern."""
+    words = [w.lower() for w in re.findall(r"\w+", text)]
+    out = {}
+    for p, owners in patterns(items).items():
+        p = p.split()
+        for i in range(len(words) - len(p) + 1):
+            if words[i : i + len(p)] == p:
+                for o in owners:
+                    out.setdefault(o, set()).update(range(i, i + len(p)))
+    return out
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("ab"), max_size=40).map(" ".join) | st.lists(st.sampled_from("abcd\n"), max_size=60).map(" ".join), min_size=1, max_size=3), st.lists(st.integers(0, 200), max_size=6), st.lists(st.sampled_from("abcd"), max_size=30))
+def test_spans_against_every_pattern(items, cuts, noise):
+    """Texts made of parts of the items, with words that repeat so that runs overlap in many ways."""
+    items = list(enumerate(items))
+    every = [w for _, t in items for w in t.split()]
+    text = " ".join(w for c in cuts for w in [*every[c % (len(every) + 1) :][:17], *noise[: c % 5]])
+    got = {}
+    for item, a, b, n in decontaminate.Benchmark(items).matches(text):
+        first = len(text[:a].split())
+        assert len(text[a:b].split()) == n
+        got.setdefault(item, set()).update(range(first, first + n))
+    assert got == covered(text, items)
+
+
+def test_nodes_are_bounded_by_the_characters():
+    items = [(i, " ".join(f"w{(i * 7919 + k * k) % 5003}" for k in range(300))) for i in range(60)]
+    assert decontaminate.Benchmark(items).nodes < 1.3 * sum(len(t) for _, t in items)
+
+
 def test_documents(spark):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     want = brute(rows, [(r.item_id, r.text) for r in bench.collect()])
-    got = decontaminate.contaminated(docs, bench).collect()
+    got = queries.op4_decontaminate(spark, SF).collect()
     assert want and {(r.doc_id, r.item_id) for r in got} == want
     texts = dict(rows)
     for r in got:  # offsets are those of the original text
@@ -30,17 +78,17 @@ def test_documents(spark):
 
 def test_spans():
     item = "Alpha beta gamma delta epsilon zeta eta theta iota"
-    a = decontaminate.automaton(decontaminate.patterns([(1, item)]))
+    a = decontaminate.Benchmark([(1, item)])
     text = "Foo! ALPHA,  beta\ngamma -- delta; epsilon (zeta) eta. Theta IOTA... bar " * 2
-    spans = decontaminate.matches(text, a)
+    spans = a.matches(text)
     assert [text[s:e] for _, s, e, _ in spans] == ["ALPHA,  beta\ngamma -- delta; epsilon (zeta) eta. Theta IOTA"] * 2
-    assert decontaminate.matches("xalpha " + item[6:], a) == [] and decontaminate.matches(None, a) == [] and decontaminate.matches("", a) == []
+    assert a.matches("xalpha " + item[6:]) == [] and a.matches(None) == [] and a.matches("") == []
     # a part of an item of the window's length counts, and letters whose lower case is longer don't shift offsets
     long = " ".join(f"w{i}" for i in range(40))
-    b = decontaminate.automaton(decontaminate.patterns([(1, long)]))
+    b = decontaminate.Benchmark([(1, long)])
     text = "İİİ " + " ".join(f"W{i}" for i in range(10, 25)) + " end"
-    assert [text[s:e] for _, s, e, _ in decontaminate.matches(text, b)] == [" ".join(f"W{i}" for i in range(10, 25))]
-    assert decontaminate.matches(" ".join(f"w{i}" for i in range(12)), b) == []
+    assert [text[s:e] for _, s, e, _ in b.matches(text)] == [" ".join(f"W{i}" for i in range(10, 25))]
+    assert b.matches(" ".join(f"w{i}" for i in range(12))) == []
 
 
 def test_short_items(spark):

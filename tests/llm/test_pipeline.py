@@ -1,7 +1,8 @@
 import corpus_pipeline
-from geostrata.llm import decontaminate, quality
+from geostrata.llm import quality
 from geostrata.llm.common import table
 from tests.compare import SMALL
+from tests.llm.test_decontaminate import brute as contaminated
 from tests.llm.test_packing import checked
 from tests.llm.test_similarity import brute, groups
 from collections import Counter
@@ -18,8 +19,8 @@ def test_run_against_brute_force(spark):
     rows = [(i, t) for i, t in rows if first[t] == i]
     root = groups(brute(rows))
     rows = [(i, t) for i, t in rows if root.get(i, i) == i]
-    found = decontaminate.patterns([(r.item_id, r.text) for r in bench.collect()])
-    rows = [(i, t) for i, t in rows if not any(p in f" {' '.join(decontaminate.words(t)).lower()} " for p in found)]
+    dirty = {i for i, _ in contaminated(rows, [(r.item_id, r.text) for r in bench.collect()])}
+    rows = [(i, t) for i, t in rows if i not in dirty]
     want = Counter({i: len(t.split()) for i, t in rows if t.split()})
     assert 50 < len(want) < docs.count()
     checked(corpus_pipeline.run(spark, SMALL).collect(), want, 2048)
