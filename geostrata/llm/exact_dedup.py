@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, maybe_broadcast
@@ -113,20 +114,21 @@ def digested(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), one.alias("d1"), two.alias("d2"))
 
 
-def build_filters(snapshots: DataFrame, buckets: int) -> DataFrame:
-    """(snapshot, bucket, filter) of the digests (snapshot, bucket, d1): one static filter for each bucket."""
+def build_filters(digests: DataFrame) -> DataFrame:
+    """(snapshot, bucket, filter) of distinct digests (snapshot, bucket, d1): one static filter for each bucket."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         f = BinaryFuse.build(pdf["d1"].to_numpy().astype(np.int64).view(np.uint64))
         return pd.DataFrame({"snapshot": pdf["snapshot"].iloc[:1], "bucket": pdf["bucket"].iloc[:1], "seed": f.seed, "segment": f.segment, "segments": f.segments, "prints": [f.prints.tobytes()]})
 
-    return snapshots.groupBy("snapshot", "bucket").applyInPandas(build, "snapshot int, bucket int, seed int, segment int, segments int, prints binary")
+    return digests.groupBy("snapshot", "bucket").applyInPandas(build, "snapshot int, bucket int, seed int, segment int, segments int, prints binary")
 
 
 def screen(incoming: DataFrame, filters: DataFrame) -> DataFrame:
-    """The rows (id, d1, d2, snapshot, bucket) that the filter of an earlier snapshot may hold, in place of all rows.
+    """The rows (d1, d2, snapshot, bucket, …) that the filter of an earlier snapshot may hold, in place of all rows.
 
-    Rows and filters of a bucket meet in one task, so a filter is never sent to all executors.
+    Rows and filters of a bucket meet in one task, so a filter is never sent to all executors. Rows are distinct digests, so
+    a bucket has about as many of them as its filters are made for, however often a text occurs.
     """
 
     def run(rows: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
@@ -143,12 +145,18 @@ def screen(incoming: DataFrame, filters: DataFrame) -> DataFrame:
     return incoming.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(run, incoming.schema)
 
 
+def bucketed(digests: DataFrame, buckets: int) -> DataFrame:
+    return digests.withColumn("bucket", F.pmod("d2", F.lit(buckets)).cast("int"))
+
+
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", snapshots: int = SNAPSHOTS, filter_keys: int = FILTER_KEYS) -> DataFrame:
     """(doc_id, keep_id, n_rows, d1, d2): the ids whose rows aren't the first of their bytes; keep_id is the lowest id.
 
     The corpus arrives in `snapshots` batches by ranges of the id. Every batch but the last leaves an immutable
-    snapshot with its filters. A digest that no earlier filter may hold is new; it meets only its own batch. The
+    snapshot with its filters. Within a batch rows of one digest are counted before anything else, so copies meet the filters
+    as one. A digest that no earlier filter may hold is new; it meets only its own batch. The
     others join the exact buckets of digests. Where digests agree, the bytes are compared, so a collision never drops a row.
+    For batches that arrive one after another see `Snapshots`.
 
     A null text is no copy of anything; empty texts are copies of each other. A null id comes after all others. n_rows
     is the number of surplus rows of an id (1 but for repeated rows); where a row is repeated, id included, keep_id may
@@ -158,15 +166,15 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     d = checkpointed(texts.select("id", "d1", "d2"))
     low, high, n = d.agg(F.min("id"), F.max("id"), F.count("*")).first()
     low, high = low or 0, high or 0
-    buckets = max(1, -(-n // (filter_keys * snapshots)))
     part = (F.col("id").cast("double") - float(low)) / float(high - low + 1) * snapshots  # ids may span more than a bigint
     batch = F.coalesce(F.least(F.floor(part), F.lit(snapshots - 1)), F.lit(snapshots - 1)).cast("int")
-    d = d.select("id", "d1", "d2", batch.alias("snapshot"), F.pmod("d2", F.lit(buckets)).cast("int").alias("bucket"))
-    filters = build_filters(d.where(F.col("snapshot") < snapshots - 1).select("snapshot", "bucket", "d1"), buckets)
-    positive = screen(d.where(F.col("snapshot") > 0), filters).select("d1", "d2")
-    within = d.groupBy("snapshot", "d1", "d2").count().where("count > 1").select("d1", "d2")
+    counted = d.groupBy(batch.alias("snapshot"), "d1", "d2").agg(F.count("*").alias("n"))
+    counted = checkpointed(bucketed(counted, max(1, -(-n // (filter_keys * snapshots)))))
+    filters = build_filters(counted.where(F.col("snapshot") < snapshots - 1).select("snapshot", "bucket", "d1"))
+    positive = screen(counted.where(F.col("snapshot") > 0).select("d1", "d2", "snapshot", "bucket"), filters).select("d1", "d2")
+    within = counted.where("n > 1").select("d1", "d2")
     # the exact buckets: digests that more than one row has, of those that were screened out or met in their own batch
-    suspects = checkpointed(d.join(positive.union(within).distinct(), ["d1", "d2"], "left_semi").groupBy("d1", "d2").count().where("count > 1").select("d1", "d2"))
+    suspects = checkpointed(counted.join(positive.union(within).distinct(), ["d1", "d2"], "left_semi").groupBy("d1", "d2").agg(F.sum("n").alias("n")).where("n > 1").select("d1", "d2"))
     # equal bytes collapse within each map task before the shuffle, so thousands of copies cost one text a task
     groups = texts.join(maybe_broadcast(suspects), ["d1", "d2"], "left_semi").groupBy("d1", "d2", "text").agg(F.min("id").alias("keep_id"), F.count("*").alias("n"))
     firsts = checkpointed(groups.groupBy("d1", "d2").agg(F.count("*").alias("texts"), F.min("keep_id").alias("keep_id"), F.sum("n").alias("n")))
@@ -179,6 +187,61 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out
 
 
+class Snapshots:
+    """Immutable snapshots of texts in a folder: their distinct texts with digests, and a static filter for each bucket.
+
+    Files of a snapshot are written once and never changed. `buckets` is fixed with the first snapshot: as many as
+    let a filter hold about FILTER_KEYS keys of one snapshot of the size that is expected.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int):
+        self.spark, self.folder, self.buckets = spark, folder, buckets
+
+    def numbers(self) -> list[int]:
+        """Snapshots that are whole: filters are written last, and a folder without its mark of success doesn't count."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/filters/snapshot=*/_SUCCESS")
+        found = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+        return sorted(int(x.getPath().getParent().getName().split("=")[1]) for x in found or [])
+
+    def _read(self, kind: str) -> DataFrame | None:
+        parts = [self.spark.read.parquet(f"{self.folder}/{kind}/snapshot={k}").withColumn("snapshot", F.lit(k)) for k in self.numbers()]
+        return reduce(DataFrame.unionByName, parts) if parts else None
+
+    def screened(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """(doc_id, keep_id, snapshot, n_rows): the rows of a new batch that are copies.
+
+        Digests that no filter may hold are new; only the others read the stored texts of their buckets, where digests
+        and then bytes are compared: keep_id and snapshot are those of the earliest snapshot that holds the text. What
+        is left is grouped within the batch: there snapshot is null and keep_id the lowest id of the batch. Null texts are no
+        copies; n_rows is as in `duplicates`; an empty batch or folder gives no row from the snapshots.
+        """
+        texts = digested(docs, id_col, text_col)
+        rows = checkpointed(texts.groupBy("d1", "d2", "id").count())
+        filters, stored = self._read("filters"), self._read("texts")
+        known = None
+        if filters is not None:
+            fresh = bucketed(rows.select("d1", "d2").distinct(), self.buckets).withColumn("snapshot", F.lit(2**31 - 1))
+            positive = checkpointed(screen(fresh.select("d1", "d2", "snapshot", "bucket"), filters).select("d1", "d2", "bucket"))
+            old = stored.join(maybe_broadcast(positive), ["bucket", "d1", "d2"], "left_semi")
+            mine = texts.join(maybe_broadcast(positive), ["d1", "d2"], "left_semi").groupBy("d1", "d2", "text").agg(F.count("*").alias("n"))
+            first = F.min(F.struct("snapshot", "id")).alias("first")
+            known = checkpointed(mine.join(old, ["d1", "d2", "text"]).groupBy("d1", "d2", "text").agg(first).select("d1", "d2", "text", "first.*"))
+            hits = texts.join(known.withColumnRenamed("id", "keep_id"), ["d1", "d2", "text"]).groupBy("id", "keep_id", "snapshot").count()
+            out = hits.select(F.col("id").alias("doc_id"), "keep_id", "snapshot", F.col("count").alias("n_rows"))
+            texts = texts.join(known.select("d1", "d2", "text"), ["d1", "d2", "text"], "left_anti")
+        own = duplicates(texts, "id", "text").select("doc_id", "keep_id", F.lit(None).cast("int").alias("snapshot"), "n_rows")
+        return own if known is None else out.unionByName(own)
+
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> int:
+        """Stores the distinct texts of `docs`, each with its lowest id, and their filters as the next snapshot."""
+        number = max(self.numbers(), default=-1) + 1
+        firsts = bucketed(digested(docs, id_col, text_col).groupBy("d1", "d2", "text").agg(F.min("id").alias("id")), self.buckets)
+        firsts.repartition("bucket").sortWithinPartitions("bucket", "d1").write.mode("overwrite").parquet(f"{self.folder}/texts/snapshot={number}")
+        digests = self.spark.read.parquet(f"{self.folder}/texts/snapshot={number}").select(F.lit(number).alias("snapshot"), "bucket", "d1").distinct()
+        build_filters(digests).drop("snapshot").write.mode("overwrite").parquet(f"{self.folder}/filters/snapshot={number}")
+        return number
+
+
 def _surplus(ids: DataFrame, firsts: DataFrame, keys: list[str]) -> DataFrame:
     """Of ids with a count of their rows, those that have rows besides the first of their group."""
     n = F.col("count") - F.when(F.col("id").eqNullSafe(F.col("keep_id")), 1).otherwise(0)

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -67,3 +69,43 @@ def test_ids_over_the_whole_range(spark):
     ids = [-(1 << 63), -5, 0, (1 << 63) - 1]
     docs = spark.createDataFrame([(i, "same") for i in ids], "doc_id bigint, text string")
     assert sorted((r.doc_id, r.keep_id) for r in exact_dedup.duplicates(docs).collect()) == [(i, ids[0]) for i in ids[1:]]
+
+
+def test_copies_meet_the_filters_as_one(spark, monkeypatch):
+    """One text that a million rows have: the grouped Python functions get it once a snapshot."""
+    docs = spark.range(1_000_000).selectExpr("id as doc_id", "if(id % 1000 = 7, concat('text ', id), 'hot') as text")
+    seen = []
+    real = exact_dedup.screen
+    monkeypatch.setattr(exact_dedup, "screen", lambda rows, filters: seen.append(rows.count()) or real(rows, filters))
+    got = exact_dedup.duplicates(docs).agg(F.count("*"), F.min("keep_id"), F.max("keep_id"), F.sum("n_rows")).first()
+    assert tuple(got) == (998_999, 0, 0, 998_999) and seen == [750 + 3]
+
+
+def test_snapshots_that_arrive_one_after_another(spark, odd, tmp_path):
+    """Three batches, each screened against saved filters and then stored, by a new object each time."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    batches = [docs.where("doc_id % 3 = 0"), docs.where("doc_id % 3 = 1").union(odd.select("doc_id", "text")), docs.union(docs.selectExpr("doc_id + 100000", "concat(text, '!')"))]
+    known = {}
+    for k, batch in enumerate(batches):
+        store = exact_dedup.Snapshots(spark, str(tmp_path), 3)
+        assert store.numbers() == list(range(k))
+        got = sorted((tuple(r) for r in store.screened(batch).collect()), key=str)
+        table = batch.collect()
+        new = [r for r in table if r.text not in known]
+        want = [(i, *known[t], n) for (i, t), n in Counter((r.doc_id, r.text) for r in table if r.text in known).items()]
+        assert got == sorted([*want, *((i, keep, None, n) for i, keep, n in brute(new))], key=str)
+        assert store.add(batch) == k
+        for r in sorted(new, key=lambda r: (r.doc_id is None, r.doc_id)):
+            if r.text is not None:
+                known.setdefault(r.text, (r.doc_id, k))
+    assert got
+
+
+def test_an_unfinished_snapshot_does_not_count(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id bigint, text string")
+    store = exact_dedup.Snapshots(spark, str(tmp_path), 2)
+    store.add(docs)
+    (tmp_path / "filters/snapshot=0/_SUCCESS").unlink()
+    assert store.numbers() == [] and store.screened(docs).count() == 0
+    assert store.add(docs) == 0 and sorted(r.doc_id for r in store.screened(docs).collect()) == [1, 2]
+    assert store.screened(docs.where("false")).count() == 0
