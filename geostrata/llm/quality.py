@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 import string
 import zlib
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ RANK = 8
 EPOCHS = 8
 THRESHOLD = 0.5
 CACHE = 200_000
+#: Bytes of text whose words are numbered together.
+SLICE = 8_000_000
 PREFIXES = (4, 5, 6, 7)
 
 _STRIP = string.punctuation + "“”«»„…–—"
@@ -46,12 +49,12 @@ def _bin(name: str, value: float, edges: tuple[float, ...]) -> str:
 _RATIO = (0.005, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9)
 
 
-def structure(text: str, words: list[str], distinct: int, lang: str | None, source: str | None) -> list[str]:
-    """The binned statistics of one text and its metadata, as feature names (their NUL keeps them apart from words)."""
+def structure(text: str, n: int, distinct: int, longest: int, lang: str | None, source: str | None) -> list[str]:
+    """The binned statistics of one text of n words, `distinct` of them different and at most `longest` equal ones in a row,
+    and its metadata, as feature names (their NUL keeps them apart from words)."""
     h = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
-    n, size, lines = max(1, len(words)), max(1, int(h.sum())), text.split("\n")
-    filled = [x for x in lines if x]
-    longest = max((sum(1 for _ in g) for _, g in groupby(words)), default=0)
+    n, size = max(1, n), max(1, int(h.sum()))
+    filled = [x for x in text.split("\n") if x]
     return [
         _bin("upper", h[_UPPER].sum() / size, _RATIO),
         _bin("digit", h[_DIGIT].sum() / size, _RATIO),
@@ -75,29 +78,65 @@ def word_buckets(word: str) -> tuple[int, ...]:
     return (word_bucket(w), *(word_bucket(f"\1{w[:k]}") for k in PREFIXES if len(w) >= k))
 
 
-def featurise(text: str | None, lang: str | None, source: str | None, known: dict[str, tuple], place: dict[int, int] | None = None) -> set[int]:
-    """Distinct buckets of one document or, with `place`, the rows of the weights of those that have one.
+class Features:
+    """Distinct buckets of documents or, with `place`, the rows of the weights of those that have one.
 
-    `known` caches the answers for raw words; it belongs to one value of `place`.
+    Words are what white space separates. Arrow splits a slice of the texts and numbers its different words; Python sees each
+    of these once, and the rest are array operations on the numbers.
     """
-    text = text or ""
-    words = text.split()
-    raw = set(words)
-    if len(known) > CACHE:
-        known.clear()
-    out: set[int] = set()
-    for w in raw:
-        found = known.get(w)
+
+    def __init__(self, place: dict[int, int] | None = None):
+        self.place, self.known = place, {}
+
+    def _rows(self, buckets) -> tuple[int, ...]:
+        return tuple(buckets) if self.place is None else tuple(self.place[b] for b in buckets if b in self.place)
+
+    def _of_word(self, word: str) -> tuple[int, ...]:
+        found = self.known.get(word)
         if found is None:
-            found = word_buckets(w)
-            if place is not None:
-                found = tuple(place[b] for b in found if b in place)
-            known[w] = found
-        if found:
-            out.update(found)
-    rest = map(word_bucket, structure(text, words, len(raw), lang, source))
-    out.update(rest if place is None else [place[b] for b in rest if b in place])
-    return out
+            if len(self.known) > CACHE:
+                self.known.clear()
+            found = self.known[word] = self._rows(word_buckets(word))
+        return found
+
+    def _slice(self, texts: pa.Array, langs: list, sources: list) -> tuple[np.ndarray, np.ndarray]:
+        lists = pc.utf8_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        code, vocabulary = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        doc = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy())
+        if "" in vocabulary:  # white space at the ends of a text leaves empty parts
+            real = code != vocabulary.index("")
+            code, doc = code[real], doc[real]
+        count = np.bincount(doc, minlength=len(texts))
+        first = np.concatenate([[0], np.cumsum(count)])
+        change = np.flatnonzero((code[1:] != code[:-1]) | (doc[1:] != doc[:-1])) + 1
+        runs = np.concatenate([[0], change]) if len(code) else change
+        longest = np.zeros(len(texts), np.int64)
+        np.maximum.at(longest, doc[runs], np.diff(np.append(runs, len(code))))
+        pairs = np.unique(doc * max(1, len(vocabulary)) + code)
+        owner, word = np.divmod(pairs, max(1, len(vocabulary)))
+        distinct = np.bincount(owner, minlength=len(texts))
+        found = [self._of_word(w) if w else () for w in vocabulary]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        start = np.concatenate([[0], np.cumsum(size)])
+        flat = np.fromiter((x for f in found for x in f), np.int64, int(start[-1]))
+        each = size[word]
+        at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(start[word], each)
+        rest = [self._rows(map(word_bucket, structure(*x))) for x in zip(texts.to_pylist(), np.diff(first).tolist(), distinct.tolist(), longest.tolist(), langs, sources)]
+        more = np.fromiter(map(len, rest), np.int64, len(rest))
+        owner = np.concatenate([np.repeat(owner, each), np.repeat(np.arange(len(texts)), more)])
+        value = np.concatenate([flat[at], np.fromiter((x for f in rest for x in f), np.int64, int(more.sum()))])
+        owner, value = np.divmod(np.unique((owner << 31) | value), 1 << 31)
+        return value, np.bincount(owner, minlength=len(texts))
+
+    def of(self, texts: pa.Array, langs: pa.Array, sources: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The documents' values, sorted in each, one document after the other, and how many each has. Null is empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        langs, sources = langs.to_pylist(), sources.to_pylist()
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        cuts = [0, *(np.flatnonzero(np.diff(ends // SLICE)) + 1).tolist(), len(texts)]
+        parts = [self._slice(texts.slice(a, b - a), langs[a:b], sources[a:b]) for a, b in zip(cuts, cuts[1:])]
+        return np.concatenate([v for v, _ in parts]), np.concatenate([n for _, n in parts])
 
 
 class Machine:
@@ -187,19 +226,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = _columns(docs, id_col, text_col).join(F.broadcast(marks), "id")
 
     def make():
-        known: dict[str, int] = {}
+        features = Features()
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            x = batch.to_pydict()
-            feats = [sorted(featurise(*z, known)) for z in zip(x["text"], x["lang"], x["source"])]
-            digest = [zlib.crc32((t or "").encode("utf-8", "surrogatepass")) for t in x["text"]]
-            return pa.RecordBatch.from_arrays([batch["id"], batch["good"], pa.array(digest, pa.int64()), pa.array(feats, pa.list_(pa.int32()))], names=["id", "good", "digest", "x"])
+            value, size = features.of(batch["text"], batch["lang"], batch["source"])
+            raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch["text"].to_pylist()]
+            digest = [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in raw]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(value, pa.int32()))
+            return pa.RecordBatch.from_arrays([batch["id"], batch["good"], pa.array(digest, pa.int64()), pa.array(map(len, raw), pa.int64()), lists], names=["id", "good", "digest", "length", "x"])
 
         return each
 
-    feats = map_batches(sample.select("id", "good", "text", "lang", "source"), "id bigint, good int, digest bigint, x array<int>", make)
+    feats = map_batches(sample.select("id", "good", "text", "lang", "source"), "id bigint, good int, digest bigint, length bigint, x array<int>", make)
     feats = checkpointed(feats.withColumn("row", F.monotonically_increasing_id()))
-    firsts = feats.groupBy("digest").agg(F.min(F.struct("id", "row")).alias("r")).select("r.row")  # no more than max_train
+    firsts = feats.groupBy("digest", "length").agg(F.min(F.struct("id", "row")).alias("r")).select("r.row")  # no more than max_train
     feats = feats.join(F.broadcast(firsts), "row", "left_semi").select("id", "good", "x")
     buckets = informative(feats)
 
@@ -231,17 +271,14 @@ def classify(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col
     share = docs.sparkSession.sparkContext.broadcast((machine.buckets, machine.w0, machine.w, machine.v))
 
     def make():
-        machine, known = Machine(*share.value), {}
-        place = dict(zip(machine.buckets.tolist(), range(len(machine.buckets))))
-
-        def score(rows) -> np.ndarray:
-            found = [featurise(*z, known, place) for z in rows]
-            index = np.fromiter((i for x in found for i in sorted(x)), np.int64)
-            return sigmoid(machine.scores(index, np.array([len(x) for x in found])))
+        machine = Machine(*share.value)
+        features = Features(dict(zip(machine.buckets.tolist(), range(len(machine.buckets)))))
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = list(zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns - 3, batch.num_columns))))
-            p = np.concatenate([score(rows[a : a + 500]) for a in range(0, len(rows), 500)])
+            value, size = features.of(*(batch.column(i) for i in range(batch.num_columns - 3, batch.num_columns)))
+            cuts = np.concatenate([np.arange(0, len(size), 500), [len(size)]])
+            at = np.concatenate([[0], np.cumsum(size)])[cuts]
+            p = sigmoid(np.concatenate([machine.scores(value[x:y], size[a:b]) for a, b, x, y in zip(cuts, cuts[1:], at, at[1:])]))
             if carry:
                 return batch.select(list(range(batch.num_columns - 3))).filter(pa.array(p >= threshold))
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(p >= threshold)], names=["doc_id", "p_good", "keep"])

@@ -1,7 +1,13 @@
+import itertools
+import math
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from geostrata.llm import quality
+from geostrata.llm import quality, queries
+from tests.compare import SMALL
 
 SF = "/root/testdata/sf0.1"
 
@@ -14,6 +20,54 @@ def test_pair_sum_is_the_double_loop():
     assert np.allclose(m.scores(np.concatenate(docs).astype(int), np.array([len(d) for d in docs])), want)
 
 
+def slow_features(text, lang, source):
+    """Buckets of one text, word by word."""
+    text = text or ""
+    words = text.split()
+    longest = max((len(list(g)) for _, g in itertools.groupby(words)), default=0)
+    out = {b for w in words for b in quality.word_buckets(w)}
+    return sorted(out | {quality.word_bucket(x) for x in quality.structure(text, len(words), len(set(words)), longest, lang, source)})
+
+
+def test_features_against_a_loop_over_words(monkeypatch):
+    texts = ["a a a b  a", None, "", "  \n\t ", "\nVersion 1.2, VERSIONS!\n\nend ", "漢字 ünï \u00a0 x\u2003y", "word " * 50 + "other"] * 3
+    langs, sources = ["en", None, "de"] * 7, [None, "web", "x"] * 7
+    want = [slow_features(*x) for x in zip(texts, langs, sources)]
+    for size in (quality.SLICE, 20):
+        monkeypatch.setattr(quality, "SLICE", size)
+        value, sizes = quality.Features().of(pa.array(texts), pa.array(langs), pa.array(sources))
+        assert [x.tolist() for x in np.split(value, np.cumsum(sizes)[:-1])] == want
+        place = {b: i for i, b in enumerate(sorted({b for w in want for b in w})[::2])}
+        value, sizes = quality.Features(place).of(pa.array(texts), pa.array(langs), pa.array(sources))
+        assert [x.tolist() for x in np.split(value, np.cumsum(sizes)[:-1])] == [[place[b] for b in w if b in place] for w in want]
+
+
+def test_query_against_brute_force(spark):
+    """Features, their choice and the scores as loops; the weights are those of `train`."""
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet").collect() for t in ("documents", "labels"))
+    feats = {r.doc_id: slow_features(r.text, r.lang, r.source) for r in docs}
+    texts = {r.doc_id: r.text for r in docs}
+    good, seen = {}, set()
+    for r in sorted(labels, key=lambda r: r.doc_id):
+        if r.quality is not None and r.doc_id in texts:
+            good[r.doc_id] = min(good.get(r.doc_id, 1), int(r.quality == 1 and not r.toxic))
+    rows = [i for i in sorted(good) if texts[i] not in seen and not seen.add(texts[i])]
+    n, rate = len(rows), sum(good[i] for i in rows) / len(rows)
+    have = Counter(b for i in rows for b in feats[i])
+    hits = Counter(b for i in rows for b in feats[i] if good[i])
+    chosen = sorted(b for b, d in have.items() if quality.MIN_DOCS <= d < n and (hits[b] - d * rate) ** 2 / (d * rate * (1 - rate)) * n / (n - d) >= quality.MIN_CHI2)
+    place = {b: k for k, b in enumerate(chosen)}
+    own = lambda i: [place[b] for b in feats[i] if b in place]
+    m = quality.train(np.array(chosen), [np.array(own(i), np.int64) for i in rows], np.array([float(good[i]) for i in rows]))
+    got = {r.doc_id: r for r in queries.op1_quality_classifier(spark, SMALL).collect()}
+    assert got.keys() == feats.keys() and len(chosen) > 3
+    for i in feats:
+        x = own(i)
+        z = m.w0 + sum(m.w[a] for a in x) + sum(m.v[a] @ m.v[b] for k, a in enumerate(x) for b in x[k + 1 :])
+        p = 1 / (1 + math.exp(-z))
+        assert abs(got[i].p_good - p) < 1e-6 and (got[i].keep == (p >= 0.5) or abs(p - 0.5) < 1e-6)
+
+
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     held = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
