@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 #: Words that a bin (a training sequence) holds.
 CAPACITY = 2048
 #: Pieces that are packed together on average; the loss of packing in groups is about one bin a group.
@@ -132,10 +134,13 @@ class Bins:
         raise AssertionError("no such items")
 
 
-def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int) -> DataFrame:
-    """(id, piece, piece_start, n): documents cut where they exceed the capacity; the last piece is what is left."""
-    n = word_count(F.col(text_col))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), n.alias("total")).where("total > 0")
+def lengths(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, total) of the documents with words."""
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), word_count(F.col(text_col)).alias("total")).where("total > 0")
+
+
+def pieces(rows: DataFrame, capacity: int) -> DataFrame:
+    """(id, piece, piece_start, n): documents (id, total) cut where they exceed the capacity; the last piece is what is left."""
     rows = rows.select("id", "total", F.explode(F.sequence(F.lit(0), ((F.col("total") - 1) / capacity).cast("int"))).alias("piece"))
     start = F.col("piece") * F.lit(capacity).cast("bigint")
     return rows.select("id", "piece", start.alias("piece_start"), F.least(F.lit(capacity).cast("bigint"), F.col("total") - start).alias("n"))
@@ -144,18 +149,19 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int) -> DataFr
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """One row for each piece of a document: its bin, its first word and number of words, its place in the bin.
 
-    Only ids and lengths move: pieces are spread over groups by a hash of id and number, and each group is packed on
+    Texts are read once, to count their words; only ids and lengths are written and move: pieces are spread over groups by a hash of id and number, and each group is packed on
     its own, by best fit in decreasing order and then local search (see Bins). A piece of a document that is longer
     than `capacity` fills a bin by itself. Documents without words (null, empty, blank) take no place. Repeated rows
     are packed as often as they occur; a null id is packed like any other; other columns are ignored. An empty table
     gives an empty result.
     """
-    parts = pieces(docs, id_col, text_col, capacity)
+    rows = checkpointed(lengths(docs, id_col, text_col))
+    parts = pieces(rows, capacity)
     full = parts.where(F.col("n") == capacity).select(
         F.concat(F.lit("f"), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit("-"), F.col("piece")).alias("bin_id"), F.col("id").alias("doc_id"), "piece", "piece_start", F.col("n").alias("n_words"), F.lit(0).cast("bigint").alias("bin_offset"), F.col("n").alias("bin_fill")
     )
     rest = parts.where(F.col("n") < capacity)
-    n = docs.count()
+    n = rows.count()
     groups = max(1, -(-n // group_pieces))
     rest = rest.withColumn("group", F.pmod(F.xxhash64("id", "piece"), F.lit(groups)).cast("int"))
 
