@@ -31,7 +31,6 @@ _HEX = frozenset("0123456789abcdefABCDEF")
 _ALNUM = frozenset("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 #: In order: a candidate belongs to the first class that holds all its characters.
 CLASSES = (
-    CharClass("digits", frozenset("0123456789"), 20, 9.0),  # numbers are no secrets of this kind: no window reaches it
     CharClass("hex", _HEX, 20, 2.7),
     CharClass("alphanumeric", _ALNUM, 20, 3.55),
     CharClass("base64", _ALNUM | frozenset("+/=_-"), 20, 3.7),
@@ -52,9 +51,9 @@ PAIRS = frozenset(
     for b in bs
 )
 WORDLIKE = 0.65
-#: Contexts and forms that are random but public.
-ALLOW_CONTEXT = re.compile(r"(?i)(commit|revision|sha-?(?:1|256|512)?|md5|checksum|digest|etag|integrity|base64,|blob|tree)\W{0,6}$|://\S*$")
-ALLOW_VALUE = re.compile(r"(?i)example|placeholder|xxxx|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^(.{1,4})\1+$|0123456789|abcdefgh")
+#: Contexts and forms that are random but public; numbers (of orders, accounts, measurements) are among the forms.
+ALLOW_CONTEXT = re.compile(r"(?i)(?<![a-z])(?:commit|revision|sha-?(?:1|256|512)?|md5|checksum|digest|etag|integrity|base64,|blob|tree)\W{0,6}$|://\S*$")
+ALLOW_VALUE = re.compile(r"(?i)^[0-9]+$|example|placeholder|xxxx|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^(.{1,4})\1+$|0123456789|abcdefgh")
 
 _RX = re.compile(CANDIDATE)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
