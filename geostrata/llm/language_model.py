@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 #: Bytes of an n-gram.
 ORDER = 5
 #: Least count, in the corpus, of the n-grams of each order that get an arc; what is rarer is reached by backing off.
@@ -14,11 +19,14 @@ MIN_COUNT = (1, 1, 2, 2, 2)
 #: Bytes of text of a shard, on average, and shards to a bucket of contexts.
 SHARD_BYTES = 16_000_000
 SHARDS_PER_BUCKET = 4
+#: Parts that one row of counts is divided into at most when it is sent on.
+FANOUT = 64
 #: Bytes that are counted at once, bytes of a lane, and lanes that are traversed side by side.
 CHUNK, LANE, LANES = 2_000_000, 1024, 4096
 
 #: What a shard gets of the model, as packed arrays.
 PARTS = ("keys", "alpha", "weight", "bare", "bare_weight")
+KINDS = (np.uint64, np.float32, np.float32, np.uint64, np.float32)
 
 _TAG = np.uint64(40)  # a key is its order << 40 with its bytes, the last one lowest
 _BYTES = np.uint64((1 << 40) - 1)
@@ -206,65 +214,143 @@ def _raw(texts: pa.ChunkedArray) -> list[bytes]:
     return texts.cast(pa.binary()).to_pylist()
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, min_count: tuple[int, ...] = MIN_COUNT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a key's context."""
+    ctx = context(keys)
+    with np.errstate(over="ignore"):
+        h = (ctx ^ (ctx >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return ((h ^ (h >> np.uint64(32))) % np.uint64(buckets)).astype(np.int64)
+
+
+def _packed(rows: list[tuple], names: tuple[str, ...]) -> pa.Table:
+    """Numbers and packed arrays of a step's rows."""
+    kinds = {int: pa.int64(), bytes: pa.binary()}
+    columns = list(zip(*rows))
+    return pa.table({n: pa.array(c, kinds[type(c[0])]) for n, c in zip(names, columns)}) if rows else None
+
+
+UP = "grp bigint, part bigint, child bigint, keys binary, counts binary"
+DOWN = "grp bigint, part bigint, " + ", ".join(f"{c} binary" for c in PARTS)
+
+
+def _divide(group: int, part: int, child: int, keys: np.ndarray, counts: np.ndarray, buckets: int, width: int, split: int) -> list[tuple]:
+    """Rows of UP for the parts that part `part` of the buckets (`width` of them) is divided into by `split`."""
+    at = _bucket(keys, buckets) // max(1, width // split)
+    by = np.argsort(at, kind="stable")
+    names, first = np.unique(at[by], return_index=True)
+    return [(group, int(n), child, keys[c].tobytes(), counts[c].astype(np.int64).tobytes()) for n, c in zip(names, np.split(by, first[1:]))]
+
+
+def _chosen(keys: np.ndarray, kept: np.ndarray, alpha: np.ndarray, weight: np.ndarray, contexts: np.ndarray, weights: np.ndarray) -> list[bytes]:
+    """What of the smoothed model belongs to some keys: those that are kept, and the contexts that are left bare by them."""
+
+    def there(of: np.ndarray, among: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(among, of)
+        return at[among[np.minimum(at, len(among) - 1)] == of] if len(among) else at[:0]
+
+    at = there(keys, kept)
+    to = there(np.setdiff1d(context(keys), context(kept[at])), contexts)
+    return [x.tobytes() for x in (kept[at], alpha[at], weight[at], contexts[to], weights[to])]
+
+
+def _children(t: pa.Table) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    return [(c, np.frombuffer(k, np.uint64), np.frombuffer(n, np.int64)) for c, k, n in zip(t["child"].to_pylist(), t["keys"].to_pylist(), t["counts"].to_pylist())]
+
+
+def steps(shards: int, fanout: int = FANOUT) -> tuple[int, int, int]:
+    """Steps that counts go up, parts that each divides a part into (at most `fanout`), and groups that it merges."""
+    wanted, levels = max(1, -(-shards // SHARDS_PER_BUCKET)), 1
+    root = lambda n: next(r for r in itertools.count(max(1, math.floor(n ** (1 / levels)) - 1)) if r**levels >= n)
+    while root(wanted) > fanout:
+        levels += 1
+    return levels, root(wanted), root(shards)
+
+
+def _model(counted: DataFrame, shards: int, buckets: int, levels: int, split: int, group: int, min_count: tuple[int, ...]) -> DataFrame:
+    """The part of the model (DOWN; grp is the shard) that each shard's texts can reach.
+
+    Counts go up in `levels` steps. In each, `group` neighbouring groups of shards merge, and each part of the buckets is divided by
+    `split`; a step reads and writes a bounded number of rows for each group and part, and there are about as many of these
+    as shards at every step. At the top one row of tasks has all counts of a bucket and smooths them. What each group asked
+    for goes down the same way. So rows are in proportion to the shards, and not to shards times buckets.
+    """
+
+    def merge(level: int):
+        width, own = buckets // split**level, group
+
+        def run(t: pa.Table) -> pa.Table:
+            parts = _children(t)
+            keys, counts = _sum(np.concatenate([k for _, k, _ in parts]), np.concatenate([n for _, _, n in parts]))
+            g, part = t["grp"][0].as_py(), t["part"][0].as_py()
+            return _packed(_divide(g // own, part, g, keys, counts, buckets, width, split), ("grp", "part", "child", "keys", "counts"))
+
+        return run
+
+    def smoothed(t: pa.Table) -> pa.Table:
+        parts = _children(t)
+        kept, alpha, weight = smooth(*_sum(np.concatenate([k for _, k, _ in parts]), np.concatenate([n for _, _, n in parts])), min_count)
+        alpha, weight = alpha.astype(np.float32), weight.astype(np.float32)
+        contexts, first = np.unique(context(kept), return_index=True)
+        part = t["part"][0].as_py()
+        return _packed([(c, part // split, *_chosen(k, kept, alpha, weight, contexts, weight[first])) for c, k, _ in parts], ("grp", "part", *PARTS))
+
+    def hand_down(asked: pa.Table, model: pa.Table) -> pa.Table:
+        if not asked.num_rows or not model.num_rows:
+            return pa.table({n: pa.array([], pa.int64() if n in ("grp", "part") else pa.binary()) for n in ("grp", "part", *PARTS)})
+        got = [np.frombuffer(b"".join(model[c].to_pylist()), kind) for c, kind in zip(PARTS, KINDS)]
+        by, at = np.argsort(got[0], kind="stable"), np.argsort(got[3], kind="stable")
+        kept, alpha, weight = (x[by] for x in got[:3])
+        contexts, first = np.unique(np.concatenate([context(kept), got[3][at]]), return_index=True)
+        weights = np.concatenate([weight, got[4][at]])[first]
+        part = asked["part"][0].as_py()
+        return _packed([(c, part // split, *_chosen(k, kept, alpha, weight, contexts, weights)) for c, k, _ in _children(asked)], ("grp", "part", *PARTS))
+
+    asked = [counted]
+    for level in range(1, levels):
+        asked[-1] = checkpointed(asked[-1])
+        asked.append(asked[-1].groupBy("grp", "part").applyInArrow(merge(level), UP))
+    down = asked.pop().groupBy("grp", "part").applyInArrow(smoothed, DOWN)
+    while asked:
+        down = asked.pop().groupBy("grp", "part").cogroup(down.groupBy("grp", "part")).applyInArrow(hand_down, DOWN)
+    return down
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, min_count: tuple[int, ...] = MIN_COUNT, shard_bytes: int = SHARD_BYTES, fanout: int = FANOUT) -> DataFrame:
     """One row for each row of `docs`: doc_id, n_bytes, log2_prob, bits_per_byte and backoffs (failure arcs taken).
 
     The model holds the n-grams of all texts, with counts over the whole corpus. It is never gathered in one place:
-    texts are spread over shards of bounded size; each shard's distinct n-grams meet their contexts' totals in buckets
-    and come back, smoothed, as that part of the automaton which the shard's texts can reach. So memory depends on the
-    size of a shard, and what moves is proportional to the corpus.
+    rows are spread over shards of bounded size; each shard's distinct n-grams meet their contexts' totals in buckets
+    and come back, smoothed, as that part of the automaton which the shard's texts can reach (see `_model`). So memory
+    depends on the size of a shard, and what moves is proportional to the corpus.
 
     Null and empty texts have 0 bytes and null scores. Repeated rows count as often as they occur and are each
-    answered; a null id stays null; other columns are ignored. An empty table gives an empty result.
+    answered, and they are spread over the shards like others; a null id stays null; other columns are ignored. An empty
+    table gives an empty result. A row's place in its partition of `docs` has a part in its shard, so `docs` has to come from
+    files or a checkpoint, not from a shuffle whose order changes when a lost task runs again.
     """
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
-    buckets = max(1, -(-shards // SHARDS_PER_BUCKET))
-    cols = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    full = cols.where("text <> ''").withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(shards)).cast("int"))
+    levels, split, group = steps(shards, fanout)
+    buckets = split**levels
+    cols = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    full = cols.where("text <> ''").select("id", "text", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("bigint").alias("grp"))
 
     def count(t: pa.Table) -> pa.Table:
-        keys, counts = ngram_counts(_raw(t["text"]), order)
-        ctx = context(keys)
-        with np.errstate(over="ignore"):
-            h = (ctx ^ (ctx >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            bucket = ((h ^ (h >> np.uint64(32))) % np.uint64(buckets)).astype(np.int32)
-        by = np.argsort(bucket, kind="stable")
-        ends = np.searchsorted(bucket[by], np.arange(buckets + 1))
-        cut = [by[a:b] for a, b in zip(ends, ends[1:])]
-        some = [i for i, c in enumerate(cut) if len(c)]
-        shard = t["shard"][0].as_py()
-        return pa.table({"bucket": pa.array(some, pa.int32()), "shard": pa.array([shard] * len(some), pa.int32()), "keys": pa.array([keys[cut[i]].tobytes() for i in some], pa.binary()), "counts": pa.array([counts[cut[i]].astype(np.int32).tobytes() for i in some], pa.binary())})
-
-    def total(t: pa.Table) -> pa.Table:
-        shard = t["shard"].to_pylist()
-        keys = [np.frombuffer(x, np.uint64) for x in t["keys"].to_pylist()]
-        counts = [np.frombuffer(x, np.int32).astype(np.int64) for x in t["counts"].to_pylist()]
-        kept, alpha, weight = smooth(*_sum(np.concatenate(keys), np.concatenate(counts)), min_count)
-        contexts, first = np.unique(context(kept), return_index=True)
-        rows = []
-        for k in keys:
-            at = np.searchsorted(kept, k)
-            at = at[kept[np.minimum(at, len(kept) - 1)] == k] if len(kept) else at[:0]
-            bare = np.setdiff1d(context(k), context(kept[at]))
-            to = np.searchsorted(contexts, bare)
-            to = to[contexts[np.minimum(to, len(contexts) - 1)] == bare] if len(contexts) else to[:0]
-            rows.append((kept[at], alpha[at].astype(np.float32), weight[at].astype(np.float32), contexts[to], weight[first[to]].astype(np.float32)))
-        return pa.table({"shard": pa.array(shard, pa.int32()), **{c: pa.array([v.tobytes() for v in x], pa.binary()) for c, x in zip(PARTS, zip(*rows))}})
+        shard = t["grp"][0].as_py()
+        return _packed(_divide(shard // group, 0, shard, *ngram_counts(_raw(t["text"]), order), buckets, buckets, split), ("grp", "part", "child", "keys", "counts"))
 
     def answer(t: pa.Table, model: pa.Table) -> pa.Table:
-        join = lambda c, kind: np.frombuffer(b"".join(model[c].to_pylist()), kind)
         names = ["doc_id", "n_bytes", "log2_prob", "bits_per_byte", "backoffs"]
         if not t.num_rows:
             return pa.table([pa.array([], k) for k in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())], names=names)
-        a = Automaton(join("keys", np.uint64), join("alpha", np.float32), join("weight", np.float32), order, join("bare", np.uint64), join("bare_weight", np.float32))
+        keys, alpha, weight, bare, bare_weight = (np.frombuffer(b"".join(model[c].to_pylist()), kind) for c, kind in zip(PARTS, KINDS))
+        a = Automaton(keys, alpha, weight, order, bare, bare_weight)
         texts = _raw(t["text"])
         lp, fails = a.score(texts)
         n = np.array([len(x) for x in texts], np.int64)
         return pa.table([t["id"], pa.array(n), pa.array(lp), pa.array(-lp / n), pa.array(fails)], names=names)
 
-    counted = full.groupBy("shard").applyInArrow(count, "bucket int, shard int, keys binary, counts binary")
-    parts = counted.groupBy("bucket").applyInArrow(total, "shard int, " + ", ".join(f"{c} binary" for c in PARTS))
-    scored = full.groupBy("shard").cogroup(parts.groupBy("shard")).applyInArrow(answer, "doc_id bigint, n_bytes bigint, log2_prob double, bits_per_byte double, backoffs bigint")
+    parts = _model(full.groupBy("grp").applyInArrow(count, UP), shards, buckets, levels, split, group, min_count)
+    scored = full.groupBy("grp").cogroup(parts.groupBy("grp")).applyInArrow(answer, "doc_id bigint, n_bytes bigint, log2_prob double, bits_per_byte double, backoffs bigint")
     blank = cols.where("text is null or text = ''").selectExpr("id as doc_id", "0L as n_bytes", "cast(null as double) as log2_prob", "cast(null as double) as bits_per_byte", "0L as backoffs")
     return scored.unionByName(blank)

@@ -1,10 +1,14 @@
+import math
 from collections import Counter
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from geostrata.llm import language_model as lm
+from geostrata.llm import queries
+from tests.compare import SMALL
 
 
 class Slow:
@@ -63,7 +67,7 @@ def test_against_the_slow_model(texts):
         return
     slow, got = Slow(texts), automaton(texts).score(texts)
     want = [slow.score(t) for t in texts]
-    assert np.allclose(got[0], [w[0] for w in want], atol=1e-6)
+    assert np.allclose(got[0], [w[0] for w in want], atol=1e-6) and got[1].tolist() == [w[1] for w in want]
 
 
 def test_probabilities_sum_to_one():
@@ -86,14 +90,46 @@ def test_long_texts_are_one_traversal(monkeypatch):
     assert all((x == y).all() for x, y in zip(again, want))
 
 
-def test_shards_and_documents(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+@pytest.mark.parametrize("size, fanout", [(lm.SHARD_BYTES, lm.FANOUT), (30_000, lm.FANOUT), (12_000, 2)])
+def test_shards_and_documents(spark, size, fanout):
+    """One shard, many, and many that merge in several steps give the scores of the slow model."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("length(text) < 3000")
     rows = {r.doc_id: r.text.encode() for r in docs.collect()}
-    want = dict(zip(rows, automaton(list(rows.values())).score(list(rows.values()))[0]))
-    for size in (lm.SHARD_BYTES, 40_000):
-        got = lm.score(docs, shard_bytes=size).collect()
-        assert len(got) == len(rows)
-        assert all(abs(r.log2_prob - want[r.doc_id]) < 1e-4 * abs(want[r.doc_id]) + 1e-3 and r.n_bytes == len(rows[r.doc_id]) and abs(r.bits_per_byte + r.log2_prob / r.n_bytes) < 1e-9 for r in got)
+    if fanout == 2:
+        assert lm.steps(-(-sum(map(len, rows.values())) // size), fanout)[0] >= 3
+    slow = Slow(list(rows.values()))
+    got = {r.doc_id: r for r in lm.score(docs, shard_bytes=size, fanout=fanout).collect()}
+    assert got.keys() == rows.keys() and len(rows) > 100
+    for i, r in got.items():
+        want, fails = slow.score(rows[i])
+        assert abs(r.log2_prob - want) < 1e-4 * abs(want) + 1e-3 and r.backoffs == fails
+        assert r.n_bytes == len(rows[i]) and abs(r.bits_per_byte + r.log2_prob / r.n_bytes) < 1e-9
+
+
+def test_query(spark):
+    rows = {r.doc_id: r.text.encode() for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    want = dict(zip(rows, zip(*automaton(list(rows.values())).score(list(rows.values())))))
+    got = queries.op5_lm_scoring(spark, SMALL).collect()
+    assert len(got) == len(rows)
+    assert all(abs(r.log2_prob - want[r.doc_id][0]) < 1e-4 * abs(want[r.doc_id][0]) + 1e-3 and r.backoffs == want[r.doc_id][1] for r in got)
+
+
+def test_rows_grow_as_the_shards():
+    for shards in (1, 3, 32, 1000, 6_250_000, 10**8):
+        levels, split, group = lm.steps(shards)
+        assert split <= lm.FANOUT and split**levels >= shards / lm.SHARDS_PER_BUCKET and group**levels >= shards
+        rows = sum(-(-shards // group**k) * split ** (k + 1) for k in range(levels))  # sent up by the groups of each step
+        assert levels <= 1 + math.log(max(shards, 2), 16) and rows <= 4 * shards * levels * lm.FANOUT
+
+
+def test_repeated_rows_are_spread(spark, monkeypatch):
+    """A row that occurs very often is in all shards, so none of them has to hold all of it."""
+    docs = spark.createDataFrame([(1, "the same text again")], "doc_id bigint, text string").selectExpr("doc_id", "text", "explode(sequence(1, 4000)) as n")
+    held = []
+    real = lm._model
+    monkeypatch.setattr(lm, "_model", lambda counted, *a: held.append(counted.count()) or real(counted, *a))
+    got = lm.score(docs, shard_bytes=8_000).collect()
+    assert len(got) == 4000 and len({round(r.log2_prob, 6) for r in got}) == 1 and held[0] >= 10
 
 
 def test_odd_rows(odd, empty):
