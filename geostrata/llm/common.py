@@ -19,14 +19,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: what the session names in spark.checkpoint.dir. Only where none is named,
-    as in tests on one machine, is one made here."""
+    """The folder that all executors share: what the session names in spark.checkpoint.dir. Only on a local master, as in
+    tests, is one made here where none is named; a cluster has to name one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "geostrata-checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.split("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = os.path.join(tempfile.gettempdir(), "geostrata-checkpoints")
+        sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder that a job wrote and no longer needs."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder, with its lineage cut."""
     shared_folder(df.sparkSession)
