@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from geostrata.llm import decontaminate, exact_dedup, packing, quality, similarity
-from geostrata.llm.common import shared_folder, table
+from geostrata.llm.common import remove, shared_folder, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,12 +53,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; what a stage keeps is written to the shared folder and read by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over `documents`; what a stage keeps is written to the shared folder and read by the next. Once a stage
+    is written, what its predecessor wrote is removed; the last folder stays, as the result is computed from it."""
+    docs, path = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}-{name}"
+            before, path = path, f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}-{name}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before:
+                remove(spark, before)
     return docs
