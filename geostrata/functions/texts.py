@@ -32,7 +32,8 @@ def terms(text: Column) -> Column:
 
 
 def without_stopwords(words: Column) -> Column:
-    return F.array_except(words, F.array(*map(F.lit, STOPWORDS)))
+    """Distinct words that aren't stop words. Each is looked up in a set, not compared with the list."""
+    return F.array_distinct(F.filter(words, lambda w: ~w.isin(*STOPWORDS)))
 
 
 def contains_all(text: Column, keywords: tuple[str, ...]) -> Column:

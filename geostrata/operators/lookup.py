@@ -22,7 +22,7 @@ def search_words(words: tuple[str, ...]) -> tuple[str, ...]:
 def postings(objects: DataFrame) -> DataFrame:
     """(term, id): the inverted index, without stop words. Written with `partitionBy` or sorted by term it serves many
     lookups."""
-    return objects.select(F.explode(texts.without_stopwords(texts.folded_tags(F.col("text")))).alias("term"), "id")
+    return objects.select(F.explode(texts.folded_tags(F.col("text"))).alias("term"), "id").where(~F.col("term").isin(*STOPWORDS))
 
 
 def ids_with_words(index: DataFrame, words: tuple[str, ...]) -> DataFrame:

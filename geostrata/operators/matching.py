@@ -1,12 +1,13 @@
 """Objects meet many queries at once: the batch form of continuous queries, by four strategies with one result.
 
 A table of queries has query_id, lat_from, lon_from, lat_to, lon_to (null: anywhere), keywords (array, in lower case),
-after (date), topic (null: any), grouping, measure and k.
+after (date), topic (null: any), grouping, measure, k and, where it isn't left out, closed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,78 +16,138 @@ from geostrata.functions import texts
 from geostrata.functions.spatial import Grid
 from geostrata.operators import aggregate
 from geostrata.plans.query import WarehouseQuery
-from geostrata.schema import GROUPS, KEY_SEPARATOR, NONE, levels_of
-from geostrata.storage import small
+from geostrata.schema import DIMENSIONS, KEY_SEPARATOR, NONE
 
-QUERIES = "query_id bigint, lat_from double, lon_from double, lat_to double, lon_to double, keywords array<string>, after date, topic string, grouping string, measure string, k int"
+QUERIES = "query_id bigint, lat_from double, lon_from double, lat_to double, lon_to double, keywords array<string>, after date, topic string, grouping string, measure string, k int, closed boolean"
 #: Queries that are broadcast at most; a larger table is left to shuffled joins.
 BROADCAST_QUERIES = 200_000
+#: Parts that objects are divided into for queries without any key, where those aren't broadcast.
+SLOTS = 64
+#: Cells of queries, of about their size or smaller.
+CELLS = Grid(64, 64)
 
 
 def query_table(spark: SparkSession, queries: Iterable[WarehouseQuery]) -> DataFrame:
-    """Intervals have no place in it: sliding counts are those of `streaming.windows`."""
+    """Queries with an interval have no place in it: which objects they count depends on the latest one."""
     corners = lambda r: (r.lat_from, r.lon_from, r.lat_to, r.lon_to) if r else (None,) * 4
-    return spark.createDataFrame([(q.query_id, *corners(q.range), [k.lower() for k in q.keywords], q.after, q.topic, q.group, q.measure, q.k) for q in queries], QUERIES)
+    rows = []
+    for q in queries:
+        if q.interval:
+            raise ValueError(f"query {q.query_id} counts the last {q.interval} minutes; register it with the continuous engine")
+        rows.append((q.query_id, *corners(q.range), [k.lower() for k in q.keywords], q.after, q.topic, q.group, q.measure, q.k, q.closed))
+    return spark.createDataFrame(rows, QUERIES)
 
 
 def group_key() -> Column:
-    """The key of an object under the query's grouping: its levels, joined."""
-    out = F.lit(NONE)
-    for g in GROUPS:
-        if g != NONE:
-            out = F.when(F.col("grouping") == g, F.concat_ws(KEY_SEPARATOR, *(F.col(f"o.{x}") for x in levels_of(g)))).otherwise(out)
-    return out
+    """The key of an object under the query's grouping: its levels, joined. A level that the grouping hasn't is not
+    computed."""
+    levels = [F.when(F.col("q.levels").bitwiseAND(F.lit(1 << i)) != 0, F.col(f"o.{x}")) for i, x in enumerate(DIMENSIONS)]
+    return F.when(F.col("q.levels") == 0, F.lit(NONE)).otherwise(F.concat_ws(KEY_SEPARATOR, *levels))
 
 
 def _residual() -> Column:
-    inside = (F.col("o.lat") >= F.col("lat_from")) & (F.col("o.lat") < F.col("lat_to")) & (F.col("o.lon") >= F.col("lon_from")) & (F.col("o.lon") < F.col("lon_to"))
-    words = F.size(F.array_except(F.coalesce("keywords", F.array().cast("array<string>")), F.col("o.folded"))) == 0
-    return (F.col("lat_from").isNull() | inside) & words & (F.col("after").isNull() | (F.to_date("o.ts") >= F.col("after"))) & (F.col("q.topic").isNull() | (F.col("q.topic") == F.col("o.topic")))
-
-
-def _sides(objects: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Objects with folded tags, and queries, hinted for broadcast if they are few. A stream isn't asked for its size."""
-    fits = not queries.isStreaming and small(queries, BROADCAST_QUERIES)
-    return objects.withColumn("folded", texts.folded_tags(F.col("text"))), F.broadcast(queries) if fits else queries
-
-
-def _out(joined: DataFrame) -> DataFrame:
-    return joined.select(F.col("q.query_id").alias("query_id"), group_key().alias("key"), "q.measure", "q.k", F.col("o.id").alias("id"), F.col("o.tags").alias("tags"))
+    closed = F.col("q.closed")
+    below = lambda x, top: (F.col(x) < F.col(top)) | (closed & (F.col(x) == F.col(top)))
+    inside = (F.col("o.lat") >= F.col("q.lat_from")) & below("o.lat", "q.lat_to") & (F.col("o.lon") >= F.col("q.lon_from")) & below("o.lon", "q.lon_to")
+    words = (F.size("q.keywords") == 0) | (F.size(F.array_except("q.keywords", "o.folded")) == 0)
+    after = F.col("q.after").isNull() | (F.col("o.ts") >= F.col("q.after").cast("timestamp"))
+    return (F.col("q.lat_from").isNull() | inside) & (F.col("q.topic").isNull() | (F.col("q.topic") == F.col("o.topic"))) & after & words
+
+
+class _Meeting:
+    """Objects, and queries with what the joins need of them. Each kind of query is joined by a key of its own, so every
+    join is an equi-join; kinds that no query is of are left out. Queries are broadcast if they are few."""
+
+    def __init__(self, objects: DataFrame, queries: DataFrame):
+        self.objects = objects.withColumn("folded", texts.folded_tags(F.col("text")))
+        bits = sum((F.when(F.array_contains(F.split("grouping", " "), x), 1 << i).otherwise(0) for i, x in enumerate(DIMENSIONS)), F.lit(0))
+        closed = F.coalesce("closed", F.lit(False)) if "closed" in queries.columns else F.lit(False)
+        self.queries = queries.withColumns({"levels": bits, "keywords": F.coalesce("keywords", F.array().cast("array<string>")), "closed": closed})
+        self.parts: list[DataFrame] = []
+        self.kinds = {"topic": F.col("topic").isNotNull(), "word": F.size("keywords") > 0, "place": F.col("lat_from").isNotNull()}
+        # one small job tells how many queries there are of each kind
+        names = [(t, w, p) for t in (0, 1) for w in (0, 1) for p in (0, 1)]
+        each = [F.count_if(reduce(lambda a, b: a & b, (c if on else ~c for c, on in zip(self.kinds.values(), n)))) for n in names]
+        self.number = dict(zip(names, self.queries.agg(*each).first()))
+        self.few = sum(self.number.values()) <= BROADCAST_QUERIES
+
+    def has(self, **kinds: bool) -> bool:
+        return any(n for key, n in self.number.items() if all(bool(key[list(self.kinds).index(k)]) == on for k, on in kinds.items()))
+
+    def join(self, on_objects: Column, on_queries: Column, **kinds: bool) -> None:
+        """The queries of some kinds with the objects of the same key. Either key may be an `explode`."""
+        if not self.has(**kinds):
+            return
+        q = self.queries.where(reduce(lambda a, b: a & b, (self.kinds[k] if on else ~self.kinds[k] for k, on in kinds.items()), F.lit(True)))
+        q = q.withColumn("join_key", on_queries)
+        o = self.objects.withColumn("join_key", on_objects)
+        joined = o.alias("o").join((F.broadcast(q) if self.few else q).alias("q"), (F.col("o.join_key") == F.col("q.join_key")) & _residual())
+        self.parts.append(joined.select(F.col("q.query_id").alias("query_id"), group_key().alias("key"), "q.measure", "q.k", F.col("o.id").alias("id"), F.col("o.ts").alias("ts"), F.col("o.tags").alias("tags")))
+
+    def by_slot(self, **kinds: bool) -> None:
+        """Queries that have no key meet all objects: they are sent to every slot, objects to one."""
+        slots = 1 if self.few else SLOTS
+        own = F.explode(F.sequence(F.lit(0), F.lit(slots - 1))) if slots > 1 else F.pmod(F.xxhash64("query_id"), F.lit(1)).cast("int")
+        self.join(F.pmod(F.xxhash64("id"), F.lit(slots)).cast("int"), own, **kinds)
+
+    def by_topic(self, **kinds: bool) -> None:
+        self.join(F.col("topic"), F.col("topic"), topic=True, **kinds)
+
+    def by_word(self, **kinds: bool) -> None:
+        self.join(F.explode("folded"), F.element_at("keywords", 1), word=True, **kinds)
+
+    def by_place(self, grid: Grid, **kinds: bool) -> None:
+        """By topic-or-any and cell: a query is listed for each cell that it touches, an object by its topic and by none."""
+        clamp = lambda c, top: F.least(F.greatest(c, F.lit(0)), F.lit(top - 1))
+        ends = lambda of, x, top: F.sequence(clamp(of(F.col(f"{x}_from")), top), clamp(of(F.col(f"{x}_to")), top))
+        key = lambda topic, r, c: F.struct(topic.isNotNull().alias("some"), F.coalesce(topic, F.lit("")).alias("t"), r.alias("r"), c.alias("c"))
+        listed = F.flatten(F.transform(ends(grid.row, "lat", grid.rows), lambda r: F.transform(ends(grid.col, "lon", grid.cols), lambda c: key(F.col("topic"), r, c))))
+        row, col = clamp(grid.row(F.col("lat")), grid.rows), clamp(grid.col(F.col("lon")), grid.cols)
+        own, none = key(F.coalesce("topic", F.lit("")), row, col), key(F.lit(None).cast("string"), row, col)
+        some, rest = self.has(place=True, topic=True), self.has(place=True, topic=False)
+        self.join(F.explode(F.array(own, none)) if some and rest else own if some else none, F.explode(listed), place=True, **kinds)
+
+    def result(self) -> DataFrame:
+        if not self.parts:
+            self.by_slot()
+        if not self.parts:  # no queries at all
+            empty = self.objects.where("false")
+            return empty.select(F.lit(0).cast("bigint").alias("query_id"), F.lit("").alias("key"), F.lit("").alias("measure"), F.lit(0).alias("k"), "id", "ts", "tags")
+        return reduce(DataFrame.unionByName, self.parts)
 
 
 def by_scan(objects: DataFrame, queries: DataFrame) -> DataFrame:
     """Every object against every query. For a handful of queries."""
-    o, q = _sides(objects, queries)
-    return _out(o.alias("o").join(q.alias("q"), _residual()))
+    m = _Meeting(objects, queries)
+    m.by_slot()
+    return m.result()
 
 
 def by_topic(objects: DataFrame, queries: DataFrame) -> DataFrame:
     """Queries of a topic meet the objects of it; those without one meet all."""
-    o, q = _sides(objects, queries)
-    some = o.alias("o").join(q.where("topic is not null").alias("q"), (F.col("o.topic") == F.col("q.topic")) & _residual())
-    return _out(some).unionByName(_out(o.alias("o").join(q.where("topic is null").alias("q"), _residual())))
+    m = _Meeting(objects, queries)
+    m.by_topic()
+    m.by_slot(topic=False)
+    return m.result()
 
 
 def by_keyword(objects: DataFrame, queries: DataFrame) -> DataFrame:
     """Queries meet the objects that have their first keyword; those without one meet all."""
-    o, q = _sides(objects, queries)
-    first = q.where(F.size("keywords") > 0).withColumn("first", F.element_at("keywords", 1))
-    some = o.withColumn("word", F.explode("folded")).alias("o").join(first.alias("q"), (F.col("o.word") == F.col("q.first")) & _residual())
-    return _out(some).unionByName(_out(o.alias("o").join(q.where("keywords is null or size(keywords) = 0").alias("q"), _residual())))
-
-
-def by_cell(objects: DataFrame, queries: DataFrame, grid: Grid = Grid(64, 64)) -> DataFrame:
-    """Queries meet the objects of the cells that they touch: an equi-join on the cell; those without a range meet all.
-
-    A query is listed once for each cell, so cells should be about as large as queries.
-    """
-    o, q = _sides(objects, queries)
-    clamp = lambda c, top: F.least(F.greatest(c, F.lit(0)), F.lit(top - 1))
-    listed = q.where("lat_from is not null").withColumns({"r": F.explode(F.sequence(clamp(grid.row(F.col("lat_from")), grid.rows), clamp(grid.row(F.col("lat_to")), grid.rows)))})
-    listed = listed.withColumn("c", F.explode(F.sequence(clamp(grid.col(F.col("lon_from")), grid.cols), clamp(grid.col(F.col("lon_to")), grid.cols))))
-    placed = o.withColumns({"row": clamp(grid.row(F.col("lat")), grid.rows), "col": clamp(grid.col(F.col("lon")), grid.cols)})
-    some = placed.alias("o").join(listed.alias("q"), (F.col("o.row") == F.col("q.r")) & (F.col("o.col") == F.col("q.c")) & _residual())
-    return _out(some).unionByName(_out(o.alias("o").join(q.where("lat_from is null").alias("q"), _residual())))
+    m = _Meeting(objects, queries)
+    m.by_word()
+    m.by_slot(word=False)
+    return m.result()
+
+
+def by_cell(objects: DataFrame, queries: DataFrame, grid: Grid = CELLS) -> DataFrame:
+    """Queries meet the objects of their topic, or of any, in the cells that they touch; without a range, those that have
+    their first keyword; without one, those of their topic. Queries without any of these meet all."""
+    m = _Meeting(objects, queries)
+    m.by_place(grid)
+    m.by_word(place=False)
+    m.by_topic(place=False, word=False)
+    m.by_slot(place=False, word=False, topic=False)
+    return m.result()
 
 
 STRATEGIES = {"scan": by_scan, "topic": by_topic, "keyword": by_keyword, "cell": by_cell}

@@ -308,13 +308,19 @@ def _stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _finished(continuous.static_counts(_stream(spark, sf_dir), matching.query_table(spark, _CONTINUOUS)))
 
 
-def _engine(spark: SparkSession, sf_dir: str) -> DataFrame:
+_RECENT = WarehouseQuery(query_id=15, group="city", interval=20_000, range=WIDE, sync_seconds=60)
+
+
+def _engine(spark: SparkSession, sf_dir: str, queries: tuple[WarehouseQuery, ...], restart: bool = False) -> continuous.ContinuousEngine:
     folder = new_folder(spark, "continuous")
     engine = continuous.ContinuousEngine(spark, f"{folder}/partials")
-    for q in _CONTINUOUS:
+    for q in queries:
         engine.register(q)
     engine.start(_stream(spark, sf_dir), f"{folder}/log", available_now=True).awaitTermination()
-    return engine.result(14).select("key", "term", "freq", "rnk")
+    if restart:
+        engine.compact()
+        engine = continuous.ContinuousEngine(spark, f"{folder}/partials")
+    return engine
 
 
 _CONTINUOUS_SQL = f"""SELECT CAST(11 AS BIGINT) AS query_id, city AS key, count(*) AS cnt FROM o WHERE {_in(WIDE)} GROUP BY city
@@ -325,7 +331,10 @@ _SLIDE = """SELECT strftime(w + INTERVAL 60 MINUTE, '%Y-%m-%d %H:%M:%S') AS wind
 _text_time = lambda df, c: df.withColumn(c, F.date_format(c, "yyyy-MM-dd HH:mm:ss"))
 
 _add("stream_continuous_count", _stream_counts, ORACLE + _CONTINUOUS_SQL)
-_add("stream_continuous_topk", _engine, ORACLE + _topk_sql("country", 3, _in(QUARTER)).replace("SELECT country, term, freq", "SELECT country AS key, term, freq", 1))
+_add("stream_continuous_topk", lambda s, d: _engine(s, d, _CONTINUOUS).result(14).select("key", "term", "freq", "rnk"), ORACLE + _topk_sql("country", 3, _in(QUARTER)).replace("SELECT country, term, freq", "SELECT country AS key, term, freq", 1))
+_LAST_MINUTES = f"date_trunc('minute', ts) > (SELECT date_trunc('minute', max(ts)) FROM o) - INTERVAL {_RECENT.interval} MINUTE"
+_add("stream_continuous_interval", lambda s, d: _engine(s, d, (*_CONTINUOUS, _RECENT)).result(15), ORACLE + f"SELECT city AS key, count(*) AS cnt FROM o WHERE {_in(WIDE)} AND {_LAST_MINUTES} GROUP BY city")
+_add("stream_continuous_restart", lambda s, d: _engine(s, d, _CONTINUOUS, restart=True).result(11), ORACLE + f"SELECT city AS key, count(*) AS cnt FROM o WHERE {_in(WIDE)} GROUP BY city")
 _add("stream_sliding_count", lambda s, d: _text_time(_finished(windows.sliding(_stream(s, d), 60, 10, "country")), "window_end"), ORACLE + _SLIDE)
 _on("sliding_count", lambda o: _text_time(windows.sliding(o, 60, 10, "country"), "window_end"), _SLIDE)
 _on("tumbling_count", lambda o: _text_time(windows.tumbling(o, 10, "topic"), "window_start"), "SELECT strftime(time_bucket(INTERVAL 10 MINUTE, ts), '%Y-%m-%d %H:%M:%S') AS window_start, topic, count(*) AS cnt FROM o GROUP BY ALL")

@@ -3,6 +3,8 @@ without it Spark raises when a stream starts."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +27,19 @@ def as_records(result: DataFrame, key: str) -> DataFrame:
     return result.select(F.lit(key).alias("key"), F.to_json(F.struct(*result.columns)).alias("value"))
 
 
+def records_or_empty(result: DataFrame, key: str) -> DataFrame:
+    """The records of a result or, if it has no rows, one that says so."""
+    empty = result.sparkSession.createDataFrame([(key, EMPTY_RESULT)], "key string, value string")
+    return empty if result.isEmpty() else as_records(result, key)
+
+
+def deliver(servers: str) -> Callable[[DataFrame, str], None]:
+    """What `streaming.service` sends records to: the topics of a Kafka cluster."""
+    return lambda records, topic: records.write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
+
+
 def write(result: DataFrame, servers: str, topic: str, key: str) -> None:
-    as_records(result, key).write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
+    deliver(servers)(records_or_empty(result, key), topic)
 
 
 def console(df: DataFrame, checkpoint: str):

@@ -154,15 +154,23 @@ def test_workload_is_in_the_domain_and_repeatable(held):
     assert inside.count() == held.count()
 
 
+@pytest.mark.parametrize("few", [True, False])
 @pytest.mark.parametrize("name", sorted(matching.STRATEGIES))
-def test_matching_strategies(spark, held, name):
+def test_matching_strategies(spark, held, name, few, monkeypatch):
+    monkeypatch.setattr(matching, "BROADCAST_QUERIES", 100 if few else 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 10_000_000 if few else -1)
     queries = [
+        WarehouseQuery(query_id=2, range=Rect(-50, -50, 50, 50), topic="view"),
+        WarehouseQuery(query_id=3, keywords=("k3", "view"), closed=True),
+        WarehouseQuery(query_id=4, range=Rect(10, 10, 60, 90), closed=True, group="city"),
         WarehouseQuery(query_id=5, range=Rect(-50, -50, 50, 50), keywords=("Click",), group="city"),
         WarehouseQuery(query_id=6, topic="view", group="country day"),
         WarehouseQuery(query_id=7, measure="topk", k=2, range=Rect(-95, -200, 95, 200), group="topic"),
         WarehouseQuery(query_id=8),
     ]
     found = matching.STRATEGIES[name](held, matching.query_table(spark, queries))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and (few or "SortMergeJoin" in plan or "ShuffledHashJoin" in plan)
     counts = {(r.query_id, r.key): r.cnt for r in matching.counts(found).collect()}
     words = {(r.query_id, r.key, r.rnk): (r.term, r.freq) for r in matching.best_words(matching.words(found)).collect()}
     want, best = {}, {}
@@ -173,4 +181,7 @@ def test_matching_strategies(spark, held, name):
                 want[q.query_id, key] = r.cnt
             else:
                 best[q.query_id, key, r.rnk] = (r.term, r.freq)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert counts == want and words == best
+    nothing = matching.STRATEGIES[name](held, matching.query_table(spark, []))
+    assert nothing.count() == 0 and matching.counts(nothing).count() == 0

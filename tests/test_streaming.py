@@ -1,3 +1,6 @@
+import json
+from datetime import date
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from geostrata.registry import _messages
 from geostrata.sources import kafka, settings
 from geostrata.sources.objects import derived, parsed, read_messages, sample_points, stream_messages, write_messages
 from geostrata.sources.warehouse import base, objects
-from geostrata.streaming import continuous, ingest, windows
+from geostrata.streaming import continuous, ingest, service, windows
 from tests.compare import SMALL, rows
 
 
@@ -69,8 +72,11 @@ def test_engine(spark, tmp_path):
     assert {r.key: r.cnt for r in got} == want and [r.cnt for r in got] == sorted(want.values())
     late = {(r.country, r.rnk): (r.term, r.freq) for r in execute(second, top).collect()}  # from its registration on
     assert {(r.key, r.rnk): (r.term, r.freq) for r in engine.result(6).collect()} == late
-    engine.compact(str(tmp_path / "compact"))
-    assert spark.read.parquet(str(tmp_path / "compact")).where("query_id = 5").agg(F.sum("n")).first()[0] == sum(want.values())
+    engine.compact()
+    assert not list((tmp_path / "p").glob("batch=*")) and len(list((tmp_path / "p").glob("upto=*"))) == 1
+    assert {r.key: r.cnt for r in engine.result(5).collect()} == want
+    engine.process(second, 1)  # and again, after it was summed up
+    assert {r.key: r.cnt for r in engine.result(5).collect()} == want
     engine.replace(q)
     assert engine.result(5).count() == 0
     assert "removed" in engine.register(q) and list(engine.registered) == [6]
@@ -81,6 +87,85 @@ def test_engine(spark, tmp_path):
     assert not (tmp_path / "p" / "batch=2").exists()
 
 
+def test_a_new_engine_goes_on(spark, tmp_path):
+    """Queries, versions and partials outlast the engine; a query that came in place of another has only its own counts."""
+    first, second = parts(spark)
+    make = lambda: continuous.ContinuousEngine(spark, str(tmp_path / "p"), compact_after=2)
+    by_city = WarehouseQuery(query_id=5, group="city", range=Rect(-60, -100, 60, 100), keywords=("view",), after=date(2024, 1, 3), sync_seconds=30)
+    by_topic = WarehouseQuery(query_id=5, group="topic", sync_seconds=30)
+    engine = make()
+    engine.register(by_city)
+    engine.process(first, 0)
+    assert make().registered == {5: by_city}
+    engine = make()
+    assert {r.key: r.cnt for r in engine.result(5).collect()} == {r.city: r.cnt for r in execute(first, by_city).collect()}
+    engine.register(by_city)
+    engine.register(by_topic)
+    engine = make()
+    for k in range(5):
+        engine.process(second.where(F.pmod("id", F.lit(5)) == k), k + 1)
+    assert len(list((tmp_path / "p").glob("batch=*"))) <= 3
+    assert {r.key: r.cnt for r in make().result(5).collect()} == {r.topic: r.cnt for r in execute(second, by_topic).collect()}
+    engine.compact()
+    left = spark.read.parquet(str(tmp_path / "p" / "upto=5"))
+    assert left.select("version").distinct().count() == 1  # the old version's partials are gone
+
+
+def test_intervals(spark, tmp_path):
+    """The last n minutes by the clock, up to that of the latest object, while late objects come and folders are summed up."""
+    o = objects(spark, SMALL)
+    q = WarehouseQuery(query_id=7, group="country", interval=9_000, sync_seconds=60)
+    top = WarehouseQuery(query_id=8, group="none", measure="topk", k=3, interval=9_000, sync_seconds=60)
+    engine = continuous.ContinuousEngine(spark, str(tmp_path / "p"))
+    engine.register(q)
+    engine.register(top)
+    assert engine.result(7).count() == 0
+    seen = None
+    for k in range(4):
+        part = o.where(F.pmod("id", F.lit(4)) == k)
+        engine.process(part, k)
+        seen = part if seen is None else seen.unionByName(part)
+        if k == 2:
+            engine.compact()
+        latest = seen.agg(F.date_trunc("minute", F.max("ts"))).first()[0]
+        recent = seen.where(F.date_trunc("minute", "ts") > F.lit(latest) - F.expr("interval 9000 minutes"))
+        want = {r.country: r["count"] for r in recent.groupBy("country").count().collect()}
+        assert {r.key: r.cnt for r in engine.result(7).collect()} == want and 0 < sum(want.values()) < seen.count()
+    assert [(r.term, r.freq) for r in engine.result(8).orderBy("rnk").collect()] == [(r.term, r.freq) for r in execute(recent, WarehouseQuery(measure="topk", k=3)).orderBy("rnk").collect()]
+    with pytest.raises(ValueError, match="minutes"):
+        matching.query_table(spark, [q])
+
+
+def test_service(spark, tmp_path):
+    """Requests and ids of results in files, objects as batches; all that is delivered is caught."""
+    o, sent = objects(spark, SMALL), []
+    engine = continuous.ContinuousEngine(spark, str(tmp_path / "p"))
+    it = service.Service(engine, lambda q: execute(o, q), lambda records, topic: sent.extend((topic, r.key, r.value) for r in records.collect()))
+    world = "-90 -180 90 180"
+    requests = [f"SELECT count() FROM data GROUP BY country\n{world}\n21", f"SELECT count() FROM data WHERE text CONTAINS 'nothing of it' GROUP BY city\n{world}\n22", f"SELECT count() FROM data GROUP BY topic SYNC 1 minute\n{world}\n23", "SELECT nothing\nx\ny"]
+    batch = spark.createDataFrame([(r,) for r in requests], "value string").coalesce(1)
+    it.take_queries(batch, 0)
+    snapshot = [json.loads(v) for t, k, v in sent if (t, k) == (kafka.SNAPSHOT_RESULTS, "21")]
+    assert {r["country"]: r["cnt"] for r in snapshot} == {r.country: r["count"] for r in o.groupBy("country").count().collect()}
+    assert (kafka.SNAPSHOT_RESULTS, "22", kafka.EMPTY_RESULT) in sent and list(engine.registered) == [23]
+    assert sum(t == kafka.SNAPSHOT_RESULTS and k == "" for t, k, _ in sent) == 1
+    it.take_queries(batch, 0)  # the batch comes again
+    assert list(engine.registered) == [23]
+    it.publish(23)
+    assert sent[-1] == (kafka.CONTINUOUS_RESULTS, "23", kafka.EMPTY_RESULT)
+    sent.clear()
+    it.take_objects(o, 0)
+    want = {r.topic: r["count"] for r in o.groupBy("topic").count().collect()}
+    assert {json.loads(v)["key"]: json.loads(v)["cnt"] for t, k, v in sent if (t, k) == (kafka.CONTINUOUS_RESULTS, "23")} == want
+    sent.clear()
+    (tmp_path / "ids").mkdir()
+    (tmp_path / "ids" / "a").write_text("23\n 23\n99\nx\n")
+    it.start(spark.readStream.text(str(tmp_path / "ids")), it.take_result_requests, str(tmp_path / "log"), None).awaitTermination()
+    assert len(sent) == len(want) + 2 and {k for _, k, v in sent if v == kafka.EMPTY_RESULT} == {"99", "x"}
+    it.take_queries(spark.createDataFrame([(f"SELECT count() FROM data\n{world}\n1",)], "value string"), 1)
+    assert not engine.registered
+
+
 def test_sliding_stream_is_the_batch(spark, folder, tmp_path):
     o = derived(parsed(read_messages(spark, folder)))
     want = rows(windows.sliding(o, 30, 10, "country"))
