@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +53,24 @@ def approximate_topk(objects: DataFrame, group: str, k: int, counters: int = 10_
     return ranked(flat, levels, k)
 
 
+def topk_sketch(objects: DataFrame, group: str, counters: int = 10_000) -> DataFrame:
+    """(levels …, sketch): the state of a top-k of bounded size for each group, to be stored and merged with others."""
+    levels = levels_of(group)
+    rows = objects.select(*levels, F.explode("tags").alias("term"))
+    sketch = F.expr(f"approx_top_k_accumulate(term, {int(counters)})").alias("sketch")
+    return rows.groupBy(*levels).agg(sketch) if levels else rows.agg(sketch)
+
+
+def merged_topk(sketches: list[DataFrame], group: str, k: int, counters: int = 10_000) -> DataFrame:
+    """As `topk`, from the sketches of parts of the objects: exact while a group has no more terms than counters."""
+    levels = levels_of(group)
+    rows = reduce(DataFrame.unionByName, sketches)
+    sketch = F.expr(f"approx_top_k_combine(sketch, {int(counters)})").alias("sketch")
+    found = rows.groupBy(*levels).agg(sketch) if levels else rows.agg(sketch)
+    terms = found.select(*levels, F.explode(F.expr(f"approx_top_k_estimate(sketch, {int(counters)})")).alias("t"))
+    return ranked(terms.select(*levels, F.col("t.item").alias("term"), F.col("t.count").alias("freq")), levels, k)
+
+
 def top_lists(best: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """The ranked terms of each key as one list of `term:freq`."""
     items = F.sort_array(F.collect_list(F.struct("rnk", F.concat_ws(":", "term", "freq").alias("item"))))

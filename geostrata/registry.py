@@ -12,7 +12,7 @@ from geostrata.functions import spatial, texts, times
 from geostrata.functions.spatial import Grid, Rect
 from geostrata.functions.stopwords import STOPWORDS
 from geostrata.operators import aggregate, lookup, matching, partition, retention, stats
-from geostrata.plans import advisor, executor
+from geostrata.plans import advisor, executor, selected
 from geostrata.plans.cubes import GridExecutor, QuadTreeExecutor
 from geostrata.plans.parser import parse
 from geostrata.plans.query import WarehouseQuery
@@ -113,6 +113,7 @@ _on("approximate_topk", lambda o: aggregate.approximate_topk(o, "city", 5))
 # aggregates from aggregates
 _SETS = ", ".join(f"({', '.join(levels_of(g))})" for g in GROUPS)
 _GRP = " + ".join(f"CAST(grouping({x}) AS INTEGER) * {64 >> i}" for i, x in enumerate(DIMENSIONS))
+_on("topk_merged", lambda o: aggregate.merged_topk([aggregate.topk_sketch(o.where(F.col("hour") < "2024011500"), "country"), aggregate.topk_sketch(o.where(F.col("hour") >= "2024011500"), "country")], "country", 3), _topk_sql("country", 3))
 _on("lattice", lambda o: aggregate.lattice(o), f"SELECT {', '.join(DIMENSIONS)}, {_GRP} AS grp, count(*) AS cnt FROM o GROUP BY GROUPING SETS ({_SETS})")
 for _coarse in ("country day", "city week", "country month topic", "none"):
     _on(f"roll_up_to_{_coarse.replace(' ', '_')}", lambda o, g=_coarse: aggregate.roll_up(aggregate.count(o, "city hour topic"), "city hour topic", g, aggregate.countries_of(o)), _count_sql(_coarse))
@@ -273,6 +274,22 @@ def _routed(name: str) -> Query:
 
 
 _add("select_views", _selected_views)
+
+
+def _from_selected(spark: SparkSession, sf_dir: str, q: WarehouseQuery, nodes: bool = False) -> DataFrame:
+    """The advisor chooses views for the workload, they are stored, and a query is answered from them."""
+    o, path = objects(spark, sf_dir), new_folder(spark, "views")
+    costs = advisor.node_candidates(o, workload(spark, sf_dir), DEPTH) if nodes else advisor.candidates(o, workload(spark, sf_dir), COARSE)
+    found = advisor.collected(costs, "node" if nodes else "cell")
+    places = selected.NodePlaces(DEPTH) if nodes else selected.GridPlaces(COARSE)
+    selected.SelectedViews.build(o, places, advisor.select_views(found, budget=20_000), advisor.select_views(found, 80_000, advisor.WORD_ROWS)).save(path)
+    return selected.SelectedExecutor(o, selected.SelectedViews.load(spark, path), places).execute(q)
+
+
+for _kind, _by_node in (("grid", False), ("quadtree", True)):
+    _add(f"cube_{_kind}_selected", lambda s, d, n=_by_node: _from_selected(s, d, WarehouseQuery(group="topic", range=WIDE), n), ORACLE + _count_sql("topic", _in(WIDE)))
+    _add(f"cube_{_kind}_selected_everywhere", lambda s, d, n=_by_node: _from_selected(s, d, WarehouseQuery(group="country"), n), ORACLE + _count_sql("country"))
+    _add(f"cube_{_kind}_selected_topk", lambda s, d, n=_by_node: _from_selected(s, d, WarehouseQuery(measure="topk", k=4, group="country", range=WIDE), n), ORACLE + _topk_sql("country", 4, _in(WIDE)))
 for _name in partition.PARTITIONERS:
     _add(f"router_{_name.replace('.', '_').replace('-', '')}", _routed(_name))
 _on("router_random", lambda o: o.groupBy(partition.random_partition(8).alias("partition")).agg(F.count("*").alias("objects")))

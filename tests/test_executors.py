@@ -3,9 +3,9 @@ import random
 import numpy as np
 import pytest
 
-from geostrata.functions.spatial import Grid, Rect
+from geostrata.functions.spatial import Grid, Rect, node_id
 from geostrata.operators import aggregate, matching, partition, stats
-from geostrata.plans import advisor, cubes
+from geostrata.plans import advisor, cubes, selected
 from geostrata.plans.cubes import GridExecutor, QuadTreeExecutor, Views
 from geostrata.plans.executor import NaiveExecutor
 from geostrata.plans.query import WarehouseQuery
@@ -185,3 +185,25 @@ def test_matching_strategies(spark, held, name, few, monkeypatch):
     assert counts == want and words == best
     nothing = matching.STRATEGIES[name](held, matching.query_table(spark, []))
     assert nothing.count() == 0 and matching.counts(nothing).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["grid", "quadtree"])
+def test_selected_views(spark, held, kind, tmp_path):
+    """Views of some places only, chosen at random; ranges at random; every answer is that of the naive executor."""
+    rng = random.Random(4)
+    places = selected.GridPlaces(Grid(6, 8)) if kind == "grid" else selected.NodePlaces(3)
+    every = [(r << 16) + c for r in range(6) for c in range(8)] if kind == "grid" else [node_id(lv, r, c) for lv in range(4) for r in range(1 << lv) for c in range(1 << lv)]
+    pick = lambda groups: [(p, g) for p in every for g in groups if rng.random() < 0.4]
+    views = selected.SelectedViews.build(held, places, pick(["city hour topic", "city day", "country", "topic"]), pick(["city", "country"]))
+    views.save(str(tmp_path / "v"))
+    views = selected.SelectedViews.load(spark, str(tmp_path / "v"))
+    ex = selected.SelectedExecutor(held, views, places)
+    served = 0
+    for k in range(8):
+        a, b = sorted(rng.uniform(-90, 90) for _ in "ab"), sorted(rng.uniform(-180, 180) for _ in "ab")
+        r = None if k == 0 else Rect(-90, -180, 90, 180) if k == 1 else Rect(a[0], b[0], a[1], b[1])
+        for q in (WarehouseQuery(group=rng.choice(["country week", "topic", "city day", "none"]), range=r, order="desc"), WarehouseQuery(measure="topk", k=3, group=rng.choice(["country", "none", "city"]), range=r)):
+            served += len(ex.plan(q))
+            assert rows(ex.execute(q)) == rows(NaiveExecutor(held).execute(q))
+    assert served > 20
+    assert ex.plan(WarehouseQuery(group="topic", topic="view")) == {} == ex.plan(WarehouseQuery(group="hour", measure="topk"))

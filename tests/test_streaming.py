@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from geostrata.functions.spatial import Rect
 from geostrata.operators import matching
+from geostrata.operators.retention import latest_hours
 from geostrata.plans.executor import execute
 from geostrata.plans.query import WarehouseQuery
 from geostrata.registry import _messages
@@ -43,12 +44,18 @@ def test_messages(spark, folder):
 
 def test_ingestion(spark, folder, tmp_path):
     stream = parsed(stream_messages(spark, folder, files_per_trigger=1))
-    ingest.write_objects(stream, str(tmp_path / "o"), str(tmp_path / "c"), available_now=True).awaitTermination()
-    table = spark.read.parquet(str(tmp_path / "o"))
-    assert rows(derived(table).select("id", "hour")) == rows(good(spark).select("id", "hour"))
-    ingest.write_objects(stream, str(tmp_path / "o"), str(tmp_path / "c"), available_now=True).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "o")).count() == table.count()
-    assert ingest.clustered(table).count() == table.count()
+    path = str(tmp_path / "o")
+    assert ingest.read_objects(spark, path).count() == 0
+    for _ in range(2):  # the second run finds nothing new
+        ingest.write_objects(stream, path, str(tmp_path / "c"), available_now=True).awaitTermination()
+        table = ingest.read_objects(spark, path)
+        assert rows(derived(table).select("id", "hour")) == rows(good(spark).select("id", "hour"))
+    hours = sorted({r.hour for r in good(spark).select("hour").distinct().collect()})
+    assert ingest.retain(spark, path, 10) == hours[-10:]
+    assert rows(derived(ingest.read_objects(spark, path)).select("id")) == rows(latest_hours(good(spark)).select("id"))
+    again = str(tmp_path / "again")
+    ingest.write_objects(stream, again, str(tmp_path / "c2"), available_now=True, keep_hours=3).awaitTermination()
+    assert {r.hour for r in derived(ingest.read_objects(spark, again)).select("hour").collect()} == set(hours[-3:])
 
 
 def parts(spark):
