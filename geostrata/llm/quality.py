@@ -25,7 +25,6 @@ MIN_CHI2 = 16.0
 RANK = 8
 EPOCHS = 8
 THRESHOLD = 0.5
-CACHE = 200_000
 #: Bytes of text whose words are numbered together.
 SLICE = 8_000_000
 PREFIXES = (4, 5, 6, 7)
@@ -38,8 +37,9 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _SYMBOL[[i for i in range(33, 127) if not chr(i).isalnum() and chr(i) not in ".,"]] = True
 
 
-def word_bucket(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
+def name_bucket(name: str) -> int:
+    """The bucket of a statistic's or metadata's feature."""
+    return zlib.crc32(name.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
 def _bin(name: str, value: float, edges: tuple[float, ...]) -> str:
@@ -72,61 +72,75 @@ def structure(text: str, n: int, distinct: int, longest: int, lang: str | None,
     ]
 
 
-def word_buckets(word: str) -> tuple[int, ...]:
-    """Buckets of a word and of its stems: prefixes catch inflected forms that no training document has."""
-    w = word.lower().strip(_STRIP)
-    return (word_bucket(w), *(word_bucket(f"\1{w[:k]}") for k in PREFIXES if len(w) >= k))
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64."""
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31))
 
 
-class Features:
-    """Distinct buckets of documents or, with `place`, the rows of the weights of those that have one.
+def word_buckets(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of each word and of its stems (one column each), and which of them there are: prefixes catch inflected forms
+    that no training document has. Case and signs at the ends don't count.
 
-    Words are what white space separates. Arrow splits a slice of the texts and numbers its different words; Python sees each
-    of these once, and the rest are array operations on the numbers.
+    A word's hash is the sum of one for each character at its place, so a running sum has those of all prefixes.
     """
+    words = pc.utf8_trim(pc.utf8_lower(words), characters=_STRIP)
+    size = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    codes = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    start = np.cumsum(size) - size
+    place = (np.arange(len(codes)) - np.repeat(start, size)).astype(np.uint64)
+    total = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(_mixed(codes | (place << np.uint64(32))), out=total[1:])
+    ends = np.stack([size, *(np.minimum(size, k) for k in PREFIXES)], 1)
+    salt = np.arange(1 + len(PREFIXES), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    hashes = _mixed((total[start[:, None] + ends] - total[start][:, None]) ^ salt)
+    there = np.stack([np.ones(len(size), bool), *(size >= k for k in PREFIXES)], 1)
+    return (hashes % np.uint64(BUCKETS)).astype(np.int64), there
+
 
-    def __init__(self, place: dict[int, int] | None = None):
-        self.place, self.known = place, {}
+class Features:
+    """Distinct buckets of documents or, with `buckets` (sorted, those that have weights), the positions in it.
+
+    Words are what white space separates. Arrow splits a slice of the texts and numbers its different words; each of these
+    is hashed once, and all of it are array operations.
+    """
 
-    def _rows(self, buckets) -> tuple[int, ...]:
-        return tuple(buckets) if self.place is None else tuple(self.place[b] for b in buckets if b in self.place)
+    def __init__(self, buckets: np.ndarray | None = None):
+        self.buckets = buckets
 
-    def _of_word(self, word: str) -> tuple[int, ...]:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) > CACHE:
-                self.known.clear()
-            found = self.known[word] = self._rows(word_buckets(word))
-        return found
+    def _rows(self, found: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of a row of buckets each: values one row after the other, and how many there are in each."""
+        if self.buckets is not None:
+            at = np.searchsorted(self.buckets, found)
+            there = there & (self.buckets[np.minimum(at, len(self.buckets) - 1)] == found) if len(self.buckets) else np.zeros_like(there)
+            found = at
+        return found[there], there.sum(axis=1)
 
     def _slice(self, texts: pa.Array, langs: list, sources: list) -> tuple[np.ndarray, np.ndarray]:
         lists = pc.utf8_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
-        code, vocabulary = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        code, vocabulary = coded.indices.to_numpy().astype(np.int64), coded.dictionary
         doc = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy())
-        if "" in vocabulary:  # white space at the ends of a text leaves empty parts
-            real = code != vocabulary.index("")
-            code, doc = code[real], doc[real]
+        empty = pc.index(vocabulary, "").as_py()
+        if empty >= 0:  # white space at the ends of a text leaves empty parts
+            code, doc = code[code != empty], doc[code != empty]
         count = np.bincount(doc, minlength=len(texts))
-        first = np.concatenate([[0], np.cumsum(count)])
         change = np.flatnonzero((code[1:] != code[:-1]) | (doc[1:] != doc[:-1])) + 1
         runs = np.concatenate([[0], change]) if len(code) else change
         longest = np.zeros(len(texts), np.int64)
         np.maximum.at(longest, doc[runs], np.diff(np.append(runs, len(code))))
-        pairs = np.unique(doc * max(1, len(vocabulary)) + code)
-        owner, word = np.divmod(pairs, max(1, len(vocabulary)))
+        owner, word = np.divmod(np.unique(doc * max(1, len(vocabulary)) + code), max(1, len(vocabulary)))
         distinct = np.bincount(owner, minlength=len(texts))
-        found = [self._of_word(w) if w else () for w in vocabulary]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        start = np.concatenate([[0], np.cumsum(size)])
-        flat = np.fromiter((x for f in found for x in f), np.int64, int(start[-1]))
-        each = size[word]
+        flat, size = self._rows(*word_buckets(vocabulary))
+        start, each = np.cumsum(size) - size, size[word]
         at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(start[word], each)
-        rest = [self._rows(map(word_bucket, structure(*x))) for x in zip(texts.to_pylist(), np.diff(first).tolist(), distinct.tolist(), longest.tolist(), langs, sources)]
-        more = np.fromiter(map(len, rest), np.int64, len(rest))
+        names = [structure(*x) for x in zip(texts.to_pylist(), count.tolist(), distinct.tolist(), longest.tolist(), langs, sources)]
+        rest = np.array([[name_bucket(x) for x in n] for n in names], np.int64)
+        rest, more = self._rows(rest, np.ones(rest.shape, bool))
         owner = np.concatenate([np.repeat(owner, each), np.repeat(np.arange(len(texts)), more)])
-        value = np.concatenate([flat[at], np.fromiter((x for f in rest for x in f), np.int64, int(more.sum()))])
-        owner, value = np.divmod(np.unique((owner << 31) | value), 1 << 31)
+        owner, value = np.divmod(np.unique((owner << 31) | np.concatenate([flat[at], rest])), 1 << 31)
         return value, np.bincount(owner, minlength=len(texts))
 
     def of(self, texts: pa.Array, langs: pa.Array, sources: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -272,7 +286,7 @@ def classify(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col
 
     def make():
         machine = Machine(*share.value)
-        features = Features(dict(zip(machine.buckets.tolist(), range(len(machine.buckets)))))
+        features = Features(machine.buckets)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             value, size = features.of(*(batch.column(i) for i in range(batch.num_columns - 3, batch.num_columns)))

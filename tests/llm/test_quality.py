@@ -20,13 +20,26 @@ def test_pair_sum_is_the_double_loop():
     assert np.allclose(m.scores(np.concatenate(docs).astype(int), np.array([len(d) for d in docs])), want)
 
 
+def slow_mix(h):
+    m = (1 << 64) - 1
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & m
+    h = (h ^ h >> 27) * 0x94D049BB133111EB & m
+    return h ^ h >> 31
+
+
+def slow_buckets(word):
+    w = word.lower().strip(quality._STRIP)
+    of = lambda part, k: slow_mix(sum(slow_mix(ord(c) | i << 32) for i, c in enumerate(part)) % 2**64 ^ k * 0x9E3779B97F4A7C15 % 2**64) % quality.BUCKETS
+    return {of(w, 0), *(of(w[:k], n + 1) for n, k in enumerate(quality.PREFIXES) if len(w) >= k)}
+
+
 def slow_features(text, lang, source):
     """Buckets of one text, word by word."""
     text = text or ""
     words = text.split()
     longest = max((len(list(g)) for _, g in itertools.groupby(words)), default=0)
-    out = {b for w in words for b in quality.word_buckets(w)}
-    return sorted(out | {quality.word_bucket(x) for x in quality.structure(text, len(words), len(set(words)), longest, lang, source)})
+    out = {b for w in words for b in slow_buckets(w)}
+    return sorted(out | {quality.name_bucket(x) for x in quality.structure(text, len(words), len(set(words)), longest, lang, source)})
 
 
 def test_features_against_a_loop_over_words(monkeypatch):
@@ -38,7 +51,7 @@ def test_features_against_a_loop_over_words(monkeypatch):
         value, sizes = quality.Features().of(pa.array(texts), pa.array(langs), pa.array(sources))
         assert [x.tolist() for x in np.split(value, np.cumsum(sizes)[:-1])] == want
         place = {b: i for i, b in enumerate(sorted({b for w in want for b in w})[::2])}
-        value, sizes = quality.Features(place).of(pa.array(texts), pa.array(langs), pa.array(sources))
+        value, sizes = quality.Features(np.array([*place])).of(pa.array(texts), pa.array(langs), pa.array(sources))
         assert [x.tolist() for x in np.split(value, np.cumsum(sizes)[:-1])] == [[place[b] for b in w if b in place] for w in want]
 
 
