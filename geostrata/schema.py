@@ -10,8 +10,7 @@ LAT_MIN, LAT_MAX = -90.0, 90.0
 LON_MIN, LON_MAX = -180.0, 180.0
 
 #: The fourteen tab-separated fields of a message. All are read as strings, so a bad number costs its row, not the read.
-_BEFORE_TAGS, _AFTER_TAGS = "tid createtime text hashtags", "lat lon placeid placefullname country screenname ulang ulocation timestamp"
-MESSAGE_FIELDS = (*_BEFORE_TAGS.split(), "tags", *_AFTER_TAGS.split())
+MESSAGE_FIELDS = tuple("tid createtime text hashtags tags lat lon placeid placefullname country screenname ulang ulocation timestamp".split())
 MESSAGES = T.StructType([T.StructField(name, T.StringType()) for name in MESSAGE_FIELDS])
 
 #: What has to be known of an object; every other column is derived from these.
