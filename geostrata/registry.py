@@ -246,7 +246,17 @@ _on("draw_hour", lambda o: stats.drawing(o, "2024010500", 3), f"""
     SELECT {_node(3)} AS node, -90 + {_row(Grid(8, 8))} * 22.5::DOUBLE AS lat_from, -180 + {_col(Grid(8, 8))} * 45.0::DOUBLE AS lon_from, -90 + {_row(Grid(8, 8))} * 22.5::DOUBLE + 22.5 AS lat_to,
       -180 + {_col(Grid(8, 8))} * 45.0::DOUBLE + 45 AS lon_to, id, lat, lon FROM o WHERE hour = '2024010500'""")
 _add("queries_by_cell", lambda s, d: advisor.queries_by_cell(workload(s, d), COARSE), ORACLE + _cells_sql(COARSE) + "SELECT CAST(cell AS INTEGER) AS cell, grouping, count(*) AS queries FROM c GROUP BY ALL")
-_add("queries_by_node", lambda s, d: advisor.queries_by_node(workload(s, d), 5))
+
+
+def _nodes_sql(depth: int) -> str:
+    """The nodes of each level up to `depth` that the workload's rectangles enclose."""
+    levels = [(lv, Grid(1 << lv, 1 << lv)) for lv in range(depth + 1)]
+    cells = "".join(_CELLS.format(r0=_row(g, "lat_from"), c0=_col(g, "lon_from"), r1=_row(g, "lat_to"), c1=_col(g, "lon_to")).replace(" s AS", f" s{lv} AS").replace(" c AS (", f" c{lv} AS (").replace("FROM s)", f"FROM s{lv})") for lv, g in levels)
+    union = " UNION ALL ".join(f"SELECT CAST({lv << 40} AS BIGINT) + r * 1048576 + c AS node, grouping FROM c{lv} WHERE NOT border" for lv, _ in levels)
+    return f"{ORACLE}{_WORKLOAD}{cells}SELECT CAST(node AS BIGINT) AS node, grouping, count(*) AS queries FROM ({union}) GROUP BY ALL"
+
+
+_add("queries_by_node", lambda s, d: advisor.queries_by_node(workload(s, d), 5), _nodes_sql(5))
 _add("objects_to_check", lambda s, d: stats.objects_to_check(objects(s, d), workload(s, d), COARSE), ORACLE + _cells_sql(COARSE) + f""", n AS (SELECT {_row(COARSE)} * 65536 + {_col(COARSE)} AS cell, count(*) AS n FROM o GROUP BY 1)
     SELECT query_id, CAST(sum(n) AS BIGINT) AS objects FROM c JOIN n USING (cell) WHERE border GROUP BY query_id""")
 _NAMES = " ".join(f"WHEN {aggregate.id_of(g)} THEN '{g}'" for g in GROUPS)
