@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geostrata.schema import MESSAGE_FIELDS
+
 OBJECT_TOPIC, QUERY_TOPIC, RESULT_REQUEST_TOPIC = "object", "query", "continuous-query"
 SNAPSHOT_RESULTS, CONTINUOUS_RESULTS = "query-result", "continuous-query-result"
 EMPTY_RESULT = "Empty result set"
@@ -27,6 +29,13 @@ def as_records(result: DataFrame, key: str) -> DataFrame:
     return result.select(F.lit(key).alias("key"), F.to_json(F.struct(*result.columns)).alias("value"))
 
 
+def message_records(messages: DataFrame) -> DataFrame:
+    """Raw messages (batch or stream) as records of the object topic: the tab-separated line, with its length as the key. The
+    rate is that of the stream that they come from (`files_per_trigger` and the trigger)."""
+    line = F.concat_ws("\t", *(F.coalesce(c, F.lit("")) for c in MESSAGE_FIELDS))
+    return messages.select(F.length(line).cast("string").alias("key"), line.alias("value"))
+
+
 def records_or_empty(result: DataFrame, key: str) -> DataFrame:
     """The records of a result or, if it has no rows, one that says so."""
     empty = result.sparkSession.createDataFrame([(key, EMPTY_RESULT)], "key string, value string")

@@ -3,7 +3,7 @@ from datetime import date
 import pytest
 
 from geostrata.functions.spatial import Rect
-from geostrata.plans.parser import QuerySyntaxError, parse, parse_fields, parse_request
+from geostrata.plans.parser import QuerySyntaxError, parse, parse_fields, parse_request, request
 from geostrata.plans.query import WarehouseQuery
 from geostrata.schema import GROUPS, ROOT, children, is_ancestor, level, levels_of
 
@@ -94,3 +94,21 @@ def test_lattice():
     assert (level(ROOT), level("city hour"), level("country day topic"), level("none")) == (0, 1, 2, 6)
     with pytest.raises(ValueError):
         levels_of("city country")
+
+
+@pytest.mark.parametrize(
+    "q",
+    [
+        WarehouseQuery(query_id=3),
+        WarehouseQuery(measure="topk", k=4, group="city hour topic", range=Rect(-1.5, 2, 3.25, 4), keywords=("key one", "k2"), after=date(2024, 1, 10), sync_seconds=90, query_id=12),
+        WarehouseQuery(group="country week", interval=30, order="asc", order_column="count", query_id=5),
+    ],
+)
+def test_requests_are_read_as_they_were_meant(q):
+    assert parse_request(request(q)) == q
+
+
+def test_what_a_request_cannot_say():
+    for q in (WarehouseQuery(topic="click"), WarehouseQuery(keywords=("it's",)), WarehouseQuery(closed=True)):
+        with pytest.raises(ValueError, match="can't say"):
+            request(q)

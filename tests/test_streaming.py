@@ -217,4 +217,6 @@ def test_settings_and_records(spark, tmp_path):
     assert settings.load(str(tmp_path / "s")) == {"a": "b", "k": "v=w"}
     r = kafka.as_records(spark.createDataFrame([("c", 3)], "city string, cnt long"), "snapshot").first()
     assert (r.key, r.value) == ("snapshot", '{"city":"c","cnt":3}')
+    m = kafka.message_records(_messages(spark, SMALL)).first()
+    assert len(m.value.split("\t")) == 14 and m.key == str(len(m.value))
     assert kafka.options("h:1", "t")["startingOffsets"] == "latest"
