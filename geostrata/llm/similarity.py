@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: PartEnum signatures find candidates, exact set intersections decide."""
+"""N-gram Jaccard join: the rarest features of each set find all candidates, exact set intersections decide."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,15 +19,14 @@ N = 3
 THRESHOLD = 0.6
 #: PartEnum: first-level parts of the feature domain, second-level parts of each, and how many of these must agree.
 PARTS, SUBPARTS, AGREE = 3, 5, 3
+#: Features of a chunk of sets, whose features are counted together, and of a place that counts, about.
+CHUNK, PLACE = 1 << 19, 1 << 20
 #: Documents of one tile; a verification task compares two tiles.
 TILE = 512
 #: Sizes of a band grow by this power of 1 / threshold, so that few sets reach into the next band.
 BAND_POWER = 4
 
 _WORD = re.compile(r"\w+")
-_RNG = np.random.default_rng(20240607)
-_XOR = _RNG.integers(0, 1 << 63, PARTS * SUBPARTS, dtype=np.uint64)
-_MUL = _RNG.integers(0, 1 << 63, PARTS * SUBPARTS, dtype=np.uint64) | np.uint64(1)
 _SUBSETS = np.array([[p * SUBPARTS + i for i in c] for p in range(PARTS) for c in combinations(range(SUBPARTS), AGREE)])
 _GOLD, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -79,20 +79,9 @@ def features(texts: list[str | None], n: int = N, known: Words | None = None) ->
     return out
 
 
-def sketch(sets: list[np.ndarray]) -> np.ndarray:
-    """PARTS x SUBPARTS coordinates of each non-empty set: the feature of least rank in each of as many random orders.
-
-    The domain of PartEnum is that of (coordinate, feature); two sets agree in a coordinate with a probability of
-    their Jaccard similarity, so their distance there is bounded whatever their size.
-    """
-    flat = np.concatenate(sets)
-    starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    out = np.empty((len(sets), PARTS * SUBPARTS), np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(PARTS * SUBPARTS):
-            h = (flat ^ _XOR[i]) * _MUL[i]
-            out[:, i] = np.minimum.reduceat(h ^ (h >> np.uint64(31)), starts)
-    return out
+def least_shared(sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """How many of its features a set shares with any other set that is similar to it, at least."""
+    return np.maximum(np.ceil(threshold * sizes - 1e-6), 1).astype(np.int64)
 
 
 def bands(sizes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +95,8 @@ def signatures(coordinates: np.ndarray, sizes: np.ndarray, threshold: float) ->
     """(row, signature): one for each band and each subset of AGREE second-level parts within a first-level part.
 
     If two sets differ in at most SUBPARTS - AGREE coordinates of some first-level part, they share a signature; that
-    holds for all pairs that differ in at most PARTS * (SUBPARTS - AGREE + 1) - 1 coordinates.
+    holds for all pairs that differ in at most PARTS * (SUBPARTS - AGREE + 1) - 1 coordinates. No query uses this any more:
+    what similar sets differ in has no such bound (see `_attached`).
     """
     band, reach = bands(sizes, threshold)
     rows = np.concatenate([np.arange(len(sizes)), np.flatnonzero(reach)])
@@ -118,55 +108,178 @@ def signatures(coordinates: np.ndarray, sizes: np.ndarray, threshold: float) ->
     return np.repeat(rows, len(_SUBSETS)), sig.ravel().view(np.int64)
 
 
+def fingerprints(raw: list[bytes]) -> np.ndarray:
+    """128-bit hashes of the bytes of sets, as two columns."""
+    return np.array([divmod(xxhash.xxh3_128_intdigest(r), 1 << 64) for r in raw], np.uint64).reshape(-1, 2).view(np.int64)
+
+
 def _digest(text: Column) -> tuple[Column, Column]:
     """Two hashes that, with the id, are the key of a row."""
     return F.xxhash64(text), F.xxhash64(F.lit(1), text)
 
 
-def _extracted(docs: DataFrame, id_col: str, text_col: str, n: int, sets: bool) -> DataFrame:
+def _extracted(docs: DataFrame, id_col: str, text_col: str, n: int, sets: str = "") -> DataFrame:
     """id, 128-bit digest (t1, t2) of the text, size and 128-bit fingerprint (p1, p2) of the feature set of each text,
-    with its features (`sets`) or its coordinates. Texts without words have size 0 and no coordinates."""
+    with its features (feats) if `sets` is a type, binary or array<bigint>, for them. Texts without words have size 0."""
     digest = [c.alias(t) for c, t in zip(_digest(F.col(text_col)), ("t1", "t2"))]
     cols = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), *digest).where("id is not null")
-    last = "feats" if sets else "coords"
+
+    names = ["id", "t1", "t2", "size", "p1", "p2", *["feats"] * bool(sets)]
 
     def make():
         known = Words()
 
         def each(batch: pa.RecordBatch) -> pa.Table | None:
-            texts = batch["text"].to_pylist()
             parts = []
-            for a in range(0, len(texts), 200):
-                found = features(texts[a : a + 200], n, known)
-                own = [s for s in found if len(s)]
+            for a in range(0, batch.num_rows, 200):
+                found = features(batch["text"].slice(a, 200).to_pylist(), n, known)
                 raw = [s.tobytes() for s in found]
-                prints = np.array([divmod(xxhash.xxh3_128_intdigest(r), 1 << 64) for r in raw], np.uint64).view(np.int64)
-                rest = iter([] if sets or not own else sketch(own))
-                data = raw if sets else [next(rest).tobytes() if len(s) else None for s in found]
+                prints = fingerprints(raw)
                 keys = batch.select(["id", "t1", "t2"]).slice(a, len(found))
-                parts.append(pa.table([*keys.columns, pa.array([len(x) for x in found], pa.int32()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(data, pa.binary())], names=["id", "t1", "t2", "size", "p1", "p2", last]))
+                cols = [*keys.columns, pa.array([len(x) for x in found], pa.int32()), pa.array(prints[:, 0]), pa.array(prints[:, 1])]
+                if sets == "binary":
+                    cols.append(pa.array(raw, pa.binary()))
+                elif sets:
+                    cols.append(pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)], dtype=np.int32), np.concatenate(found).view(np.int64)))
+                parts.append(pa.table(cols, names=names))
             return pa.concat_tables(parts) if parts else None
 
         return each
 
-    return map_batches(cols, f"id bigint, t1 bigint, t2 bigint, size int, p1 bigint, p2 bigint, {last} binary", make)
+    return map_batches(cols, "id bigint, t1 bigint, t2 bigint, size int, p1 bigint, p2 bigint" + f", feats {sets}" * bool(sets), make)
 
 
-def _attached(reps: DataFrame, threshold: float) -> DataFrame:
-    """(lead, id): each set (id, size, coords) and the lowest id of each group with which it shares a signature.
+def _chunk(number: int, sets: dict[bytes, np.ndarray], places: int) -> pa.RecordBatch:
+    """(chunk, place, data, docs): for each place the 32-bit keys of the features that it counts, with their sets'
+    numbers in the chunk; for a negative place, so that it isn't one for all chunks, the sets' fingerprints and sizes."""
+    sizes = np.array([len(s) for s in sets.values()], np.int32)
+    flat, doc = np.concatenate(list(sets.values())), np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
+    place = ((flat >> np.uint64(40)) * np.uint64(places) >> np.uint64(24)).astype(np.uint16)
+    order = np.argsort(place, kind="stable")
+    keys, doc, place = flat.astype(np.uint32)[order], doc[order], place[order]
+    ends = _ends(place)
+    cuts = list(zip([0, *ends[:-1]], ends))
+    at = [-1 - number % 1024, *(int(place[a]) for a, _ in cuts)]
+    data, docs = [b"".join(sets), *(keys[a:b].tobytes() for a, b in cuts)], [sizes.tobytes(), *(doc[a:b].tobytes() for a, b in cuts)]
+    return pa.RecordBatch.from_arrays([pa.array([number] * len(at), pa.int64()), pa.array(at, pa.int32()), pa.array(data, pa.binary()), pa.array(docs, pa.binary())], names=["chunk", "place", "data", "docs"])
 
-    This is linear in the size of a group, however large: what a group has in common is its lead.
+
+def _sharing(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, total: int) -> DataFrame:
+    """(p1, p2) of the sets that share as many features with any other sets as a partner would have in common with them
+    (see `least_shared`); the others have no partner. `total` is the number of features.
+
+    Chunks of sets send their features to places by range, which answer how many of each set's are not alone. A key in a
+    place has 32 bits: where two features have the same one they count as shared, so a set may be kept too many, none too
+    few. The same goes for equal sets of different chunks.
     """
+    places = min(max(1, -(-total // PLACE)), 1 << 16)
+
+    def send(batches):
+        known, sets, held, number = Words(), {}, 0, TaskContext.get().partitionId() << 24
+        for batch in batches:
+            for a in range(0, batch.num_rows, 200):
+                own = [s for s in features(batch["text"].slice(a, 200).to_pylist(), n, known) if len(s)]
+                prints = fingerprints([s.tobytes() for s in own])
+                sets.update((p.tobytes(), s) for p, s in zip(prints, own))
+                held += sum(map(len, own))
+                if held >= CHUNK or len(sets) > 60_000:
+                    yield _chunk(number, sets, places)
+                    sets, held, number = {}, 0, number + 1
+        if sets:
+            yield _chunk(number, sets, places)
+
+    def count(batches):
+        for t in whole_keys(batches, "place"):
+            place, data, lists = t["place"].to_numpy(), t["data"].to_pylist(), t["docs"].to_pylist()
+            a = 0
+            for b in _ends(place):
+                if place[a] < 0:
+                    yield pa.RecordBatch.from_arrays([t["chunk"].slice(a, b - a).combine_chunks(), pa.array(data[a:b], pa.binary()), pa.array(lists[a:b], pa.binary()), pa.nulls(b - a, pa.binary())], names=["chunk", "sets", "docs", "counts"])
+                else:
+                    keys = np.frombuffer(b"".join(data[a:b]), np.uint32)
+                    order = np.argsort(keys)
+                    same = keys[order[1:]] == keys[order[:-1]]
+                    shared = np.zeros(len(keys), bool)
+                    shared[order[1:][same]] = shared[order[:-1][same]] = True
+                    own, found, at = [], [], 0
+                    for x in lists[a:b]:
+                        x = np.frombuffer(x, np.uint16)
+                        doc, many = np.unique(x[shared[at : at + len(x)]], return_counts=True)
+                        own.append(doc.tobytes())
+                        found.append(many.astype(np.int32).tobytes())
+                        at += len(x)
+                    yield pa.RecordBatch.from_arrays([t["chunk"].slice(a, b - a).combine_chunks(), pa.nulls(b - a, pa.binary()), pa.array(own, pa.binary()), pa.array(found, pa.binary())], names=["chunk", "sets", "docs", "counts"])
+                a = b
 
-    def make():
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            coords = np.frombuffer(b"".join(batch["coords"].to_pylist()), np.uint64).reshape(-1, PARTS * SUBPARTS)
-            row, sig = signatures(coords, batch["size"].to_numpy().astype(float), threshold)
-            return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(batch["id"].to_numpy()[row])], names=["sig", "id"])
+    def decide(batches):
+        for t in whole_keys(batches, "chunk"):
+            sets, lists, counts, a = t["sets"].to_pylist(), t["docs"].to_pylist(), t["counts"].to_pylist(), 0
+            for b in _ends(t["chunk"].to_numpy()):
+                k = next(k for k in range(a, b) if sets[k] is not None)
+                sizes, prints = np.frombuffer(lists[k], np.int32), np.frombuffer(sets[k], np.int64).reshape(-1, 2)
+                shared = np.zeros(len(sizes), np.int64)
+                for i in range(a, b):
+                    if i != k:
+                        shared[np.frombuffer(lists[i], np.uint16)] += np.frombuffer(counts[i], np.int32)
+                prints = prints[shared >= least_shared(sizes, threshold)]
+                yield pa.RecordBatch.from_arrays([pa.array(prints[:, 0]), pa.array(prints[:, 1])], names=["p1", "p2"])
+                a = b
+
+    texts = docs.where(F.col(id_col).cast("bigint").isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
+    sent = texts.mapInArrow(send, "chunk bigint, place int, data binary, docs binary").repartition("place").sortWithinPartitions("place")
+    counted = sent.mapInArrow(count, "chunk bigint, sets binary, docs binary, counts binary")
+    return counted.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(decide, "p1 bigint, p2 bigint").distinct()
 
-        return each
 
-    signed = map_batches(reps.select("id", "size", "coords"), "sig bigint, id bigint", make)
+def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """(sig, id) of the sets (id, size, feats): one for each feature of the set's prefix and each of its size bands.
+
+    The prefix of a set is what it has too many of to miss them all: of its features, the rarest first, those that are more
+    than it may have without a partner, `size - least_shared + 1`. Two similar sets, of which each shares as many with the
+    other, have one of them in common. Features that no other set has come first and need no signature.
+    """
+
+    def count(batches):
+        for t in whole_keys(batches, "feature"):
+            feature, ids = t["feature"].to_numpy(), t["id"].to_numpy()
+            new = np.concatenate([[True], feature[1:] != feature[:-1]])
+            once = np.flatnonzero(new | np.concatenate([[True], ids[1:] != ids[:-1]]))  # repeated rows count once
+            first = np.flatnonzero(new[once])
+            many = np.diff(np.append(first, len(once)))
+            many = np.repeat(many, many)
+            keep = once[many > 1]
+            if len(keep):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(t["size"].to_numpy()[keep]), pa.array(many[many > 1]), pa.array(feature[keep])], names=["id", "size", "df", "feature"])
+
+    def sign(batches):
+        for t in whole_keys(batches, "id"):
+            ids, size = t["id"].to_numpy(), t["size"].to_numpy()
+            first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            shared = np.diff(np.append(first, len(ids)))
+            rank = np.arange(len(ids)) - np.repeat(first, shared)
+            keep = rank < np.repeat(shared - least_shared(size[first], threshold) + 1, shared)
+            if keep.any():
+                ids, feature = ids[keep], t["feature"].to_numpy()[keep].view(np.uint64)
+                band, reach = bands(size[keep].astype(float), threshold)
+                band, ids, feature = np.append(band, band[reach] + 1), np.append(ids, ids[reach]), np.append(feature, feature[reach])
+                sig = mix(feature ^ mix(band.astype(np.uint64) + np.uint64(77)))
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(ids)], names=["sig", "id"])
+
+    rows = sets.select(F.explode("feats").alias("feature"), "id", "size")  # not in Python, as a task would need two workers
+    rows = rows.repartition("feature").sortWithinPartitions("feature", "id").mapInArrow(count, "id bigint, size int, df bigint, feature bigint")
+    return rows.repartition("id").sortWithinPartitions("id", "df", "feature").mapInArrow(sign, "sig bigint, id bigint")
+
+
+def _attached(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float) -> DataFrame:
+    """(lead, id): each set (id, doc, size, p1, p2) and the lowest id of each group with which it shares a signature.
+
+    Any two similar sets share one, whatever their similarity and size. First the sets whose features hardly any other set
+    has are left out, as they can't have a partner; the signatures of the others are the rarest of their features.
+    This is linear in the size of a group, however large: what a group has in common is its lead.
+    """
+    total = reps.agg(F.sum(F.col("size").cast("bigint"))).first()[0] or 0
+    wanted = checkpointed(reps.join(_sharing(docs, id_col, text_col, n, threshold, total), ["p1", "p2"]).select("id", "doc", "p1", "p2", "n"))
+    prefixes = _prefixes(_again(wanted, docs, id_col, text_col, n, "array<bigint>"), threshold)
 
     def run(batches):
         for t in whole_keys(batches, "sig"):
@@ -179,7 +292,7 @@ def _attached(reps: DataFrame, threshold: float) -> DataFrame:
                 pairs = np.unique(np.stack([lead[many], ids[many]], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["lead", "id"])
 
-    return signed.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(run, "lead bigint, id bigint").distinct()
+    return prefixes.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(run, "lead bigint, id bigint").distinct()
 
 
 def _handled(tile: np.ndarray, same: bool, comp: np.ndarray, lead: int, leads: list) -> np.ndarray:
@@ -246,13 +359,20 @@ def _blocks(attached: DataFrame, comps: DataFrame | None = None) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
+def _again(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, kind: str) -> DataFrame:
+    """(id, n, size, feats) of the representatives `wanted`, extracted again from their texts only. `kind` is the type
+    of feats."""
+    few = maybe_broadcast(wanted)
+    texts = docs.where(F.col(text_col).isNotNull()).join(few.select(F.col("doc").alias("__nd_id")), F.col(id_col).cast("bigint") == F.col("__nd_id"), "left_semi")
+    sets = _extracted(texts, id_col, text_col, n, kind).select(F.col("id").alias("doc"), "p1", "p2", "size", "feats")
+    return sets.join(few, ["doc", "p1", "p2"]).select("id", "n", "size", "feats")
+
+
 def _with_features(rows: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     """`rows` (block, id, …) with the documents' features and the size of their class, each block in one place. Features
     are extracted again, of these documents only."""
     wanted = checkpointed(rows.select("id").distinct().join(reps.select("id", "doc", "p1", "p2", "n"), "id"))
-    few = maybe_broadcast(wanted)
-    texts = docs.where(F.col(text_col).isNotNull()).join(few.select(F.col("doc").alias("__nd_id")), F.col(id_col).cast("bigint") == F.col("__nd_id"), "left_semi")
-    sets = _extracted(texts, id_col, text_col, n, True).select(F.col("id").alias("doc"), "p1", "p2", "feats").join(few, ["doc", "p1", "p2"]).select("id", "n", "feats")
+    sets = _again(wanted, docs, id_col, text_col, n, "binary").select("id", "n", "feats")
     return sets.join(rows, "id").repartition("block").sortWithinPartitions("block", "id")
 
 
@@ -378,15 +498,15 @@ def jaccards(x: np.ndarray, y: np.ndarray, sets: list[np.ndarray]) -> np.ndarray
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Members (id, t1, t2, rep, n) of the classes of equal sets, rep being the number of the class and n its size; the
-    texts (id, t1, t2) without words; one representative (id, doc, size, p1, p2, coords, n) of each class, whose id is
+    texts (id, t1, t2) without words; one representative (id, doc, size, p1, p2, n) of each class, whose id is
     the class's number. An id with several texts is a member with each of them."""
-    row = F.struct("p1", "p2", "size", "coords")
-    ids = checkpointed(_extracted(docs, id_col, text_col, n, False).groupBy("id", "t1", "t2").agg(F.min(row).alias("r")).select("id", "t1", "t2", "r.*"))
+    row = F.struct("p1", "p2", "size")
+    ids = checkpointed(_extracted(docs, id_col, text_col, n).groupBy("id", "t1", "t2").agg(F.min(row).alias("r")).select("id", "t1", "t2", "r.*"))
     full = ids.where("size > 0")
     classes = full.groupBy("p1", "p2", "size").agg(F.min(F.struct("id", "t1", "t2")).alias("first"), F.count("*").alias("n"))
     classes = checkpointed(classes.withColumn("rep", F.monotonically_increasing_id()))
     members = checkpointed(full.join(classes, ["p1", "p2", "size"]).select("id", "t1", "t2", "rep", "n"))
-    reps = full.join(classes.select("first.*", "rep", "n"), ["id", "t1", "t2"]).select(F.col("rep").alias("id"), F.col("id").alias("doc"), "size", "p1", "p2", "coords", "n")
+    reps = full.join(classes.select("first.*", "rep", "n"), ["id", "t1", "t2"]).select(F.col("rep").alias("id"), F.col("id").alias("doc"), "size", "p1", "p2", "n")
     return members, ids.where("size = 0").select("id", "t1", "t2"), reps
 
 
@@ -396,12 +516,11 @@ def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Every text is a query and none has a cap on its partners; that all pairs of different sets are returned is what this
     function is for, so a group of k near copies gives up to k² / 2 (see `links` and `deduplicated` for less). The
-    similarity is exact; a pair at the threshold is missed if it shares no signature, at 3% at 0.6, 0.5% at 0.7 and
-    less beyond. Null and empty texts, texts without words and null ids are in neither table. Repeated rows count once;
+    similarity is exact and no pair is missed (see `_attached`). Null and empty texts, texts without words and null ids are in neither table. Repeated rows count once;
     an id with several texts takes part with each of them. An empty table gives empty results.
     """
     members, _, reps = _classes(docs, id_col, text_col, n)
-    blocks = checkpointed(_blocks(checkpointed(_attached(reps, threshold))))
+    blocks = checkpointed(_blocks(checkpointed(_attached(reps, docs, id_col, text_col, n, threshold))))
     pairs = _verify(blocks, reps, docs, id_col, text_col, n, threshold, True)
     names = members.groupBy("rep").agg(F.min("id").alias("doc"))
     left, right = names.select(F.col("rep").alias("a"), F.col("doc").alias("x")), names.select(F.col("rep").alias("b"), F.col("doc").alias("y"))
@@ -417,15 +536,15 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     Every text is a query against all others, without a cap on partners; pairs are counted where they are compared and
     never emitted. Equal sets are searched for once and count with all their documents. Tiles of a group are compared
     with each other in tasks of their own, so that no task grows with a group; the number of such tasks grows with the
-    square of the number of *different* sets in it, as each of their links is counted. The similarity is exact; a pair
-    is missed if it shares no signature, at 3% at 0.6, 0.5% at 0.7 and less beyond.
+    square of the number of *different* sets in it, as each of their links is counted. The similarity is exact and no pair
+    is missed (see `_attached`).
 
     Null and empty texts and texts without words are classes of their own without links. A null id gives no row.
     Repeated rows count once; an id with several texts has a row for each of them. Other columns are ignored; an empty
     table gives no row.
     """
     members, empty, reps = _classes(docs, id_col, text_col, n)
-    blocks = checkpointed(_blocks(checkpointed(_attached(reps, threshold))))
+    blocks = checkpointed(_blocks(checkpointed(_attached(reps, docs, id_col, text_col, n, threshold))))
     found = checkpointed(_verify(blocks, reps, docs, id_col, text_col, n, threshold, False))
     degree = found.where("links is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     linked = components(found.where("b is not null")).select(F.col("id").alias("rep"), "root")
@@ -463,12 +582,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     (see `links`), rows with a null id among it. Rows are removed by id and text, so other texts with the same
     id stay. Helper columns start with `__nd_`, so none clashes.
 
-    Texts are first compared with the leads of their signatures, in a time linear in the size of a group. Only pairs that
+    Texts are first compared with the leads of their rare features, in a time linear in the size of a group. Only pairs that
     this and what follows from it leave in different components are then compared with each other. So a group of near
     copies costs one comparison each, and no link is lost.
     """
     members, _, reps = _classes(docs, id_col, text_col, n)
-    attached = checkpointed(_attached(reps, threshold))
+    attached = checkpointed(_attached(reps, docs, id_col, text_col, n, threshold))
     stars = checkpointed(_starred(attached, reps, docs, id_col, text_col, n, threshold).select("a", "b"))
     roots = components(stars)
     blocks = checkpointed(_blocks(attached, roots))

@@ -80,6 +80,42 @@ def test_recall_near_the_threshold(spark):
     assert counted(docs) == expected(range(800), got)
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_no_pair_at_the_threshold_is_missed(spark, monkeypatch, small):
+    """Pairs that reach the threshold exactly or by a little, in groups that share text with others and by themselves, are
+    all found; also where sets are counted in many chunks and places."""
+    if small:
+        monkeypatch.setattr(similarity, "CHUNK", 5000)
+        monkeypatch.setattr(similarity, "PLACE", 3000)
+    rng, rows = random.Random(17), []
+    common = [[f"c{k}w{i}" for i in range(40)] for k in range(5)]  # passages that many texts have
+    for i in range(500):
+        size = rng.choice([4, 12, 50, 202, 600])
+        words = [f"d{i}w{k}" for k in range(size)]
+        if size >= 50 and i % 3 == 0:
+            words[:10] = rng.choice(common)[:10]
+        changed = (size - 2) // 4  # of the n-grams, at the end: similarity (1 - x) / (1 + x), 0.6 for a quarter
+        rows += [words, [*words[: size - changed], *(f"x{i}w{k}" for k in range(changed))]]
+    rows = list(enumerate(map(" ".join, rows)))
+    want = brute(rows)
+    close = sum(j < 0.62 for j in want.values())
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = expanded(docs)
+    assert len(want) >= 400 and close >= 300 and got.keys() == want.keys()
+    assert counted(docs) == expected(range(1000), want)
+    root = groups(want)
+    assert {r.doc_id for r in similarity.deduplicated(docs).collect()} == {i for i in range(1000) if root.get(i, i) == i}
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.6, 0.9, 1.0])
+def test_similar_sets_share_what_is_needed(threshold):
+    for a in range(1, 60):
+        for b in range(a, 60):
+            for both in range(1, a + 1):
+                if both / (a + b - both) >= threshold - 1e-12:
+                    assert both >= similarity.least_shared(np.array([a, b]), threshold).max()
+
+
 def test_large_groups(spark, monkeypatch):
     """A group of copies that takes many tiles; every pair is found, and counted once."""
     monkeypatch.setattr(similarity, "TILE", 16)
