@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import string
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,9 @@ EPOCHS = 8
 THRESHOLD = 0.5
 #: Bytes of text whose words are numbered together.
 SLICE = 8_000_000
+#: Different words of a slice that are hashed together, and words that are put in order together (about; those of one text
+#: always are). It bounds the memory that this takes.
+STRETCH = 1 << 16
 PREFIXES = (4, 5, 6, 7)
 
 _STRIP = string.punctuation + "“”«»„…–—"
@@ -100,11 +104,19 @@ def word_buckets(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (hashes % np.uint64(BUCKETS)).astype(np.int64), there
 
 
+def _cuts(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Consecutive ranges of things of these sizes, of about `most` together, one thing at least."""
+    ends = np.cumsum(sizes)
+    cuts = [0, *(np.flatnonzero(np.diff(ends // most)) + 1).tolist(), len(ends)]
+    return list(zip(cuts, cuts[1:]))
+
+
 class Features:
     """Distinct buckets of documents or, with `buckets` (sorted, those that have weights), the positions in it.
 
     Words are what white space separates. Arrow splits a slice of the texts and numbers its different words; each of these
-    is hashed once, and all of it are array operations.
+    is hashed once, and all of it are array operations. A document has some four features for each of its words, so these
+    are made a stretch of documents at a time: a task holds the numbers of a slice's words and the features of a stretch.
     """
 
     def __init__(self, buckets: np.ndarray | None = None):
@@ -116,14 +128,12 @@ class Features:
             at = np.searchsorted(self.buckets, found)
             there = there & (self.buckets[np.minimum(at, len(self.buckets) - 1)] == found) if len(self.buckets) else np.zeros_like(there)
             found = at
-        return found[there], there.sum(axis=1)
+        return found[there].astype(np.int32), there.sum(axis=1)
 
-    def _slice(self, texts: pa.Array, langs: list, sources: list) -> tuple[np.ndarray, np.ndarray]:
-        lists = pc.utf8_split_whitespace(texts)
-        coded = lists.flatten().dictionary_encode()
-        code, vocabulary = coded.indices.to_numpy().astype(np.int64), coded.dictionary
-        doc = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy())
-        empty = pc.index(vocabulary, "").as_py()
+    def _stretch(self, texts: pa.Array, code: np.ndarray, sizes: np.ndarray, empty: int, words: int, known: tuple[np.ndarray, np.ndarray], langs: list, sources: list) -> tuple[np.ndarray, np.ndarray]:
+        """Of texts with so many words each, whose numbers follow each other in `code`. There are `words` different ones, with
+        the values `known`; that with the number `empty` is none."""
+        doc = np.repeat(np.arange(len(texts)), sizes)
         if empty >= 0:  # white space at the ends of a text leaves empty parts
             code, doc = code[code != empty], doc[code != empty]
         count = np.bincount(doc, minlength=len(texts))
@@ -131,9 +141,9 @@ class Features:
         runs = np.concatenate([[0], change]) if len(code) else change
         longest = np.zeros(len(texts), np.int64)
         np.maximum.at(longest, doc[runs], np.diff(np.append(runs, len(code))))
-        owner, word = np.divmod(np.unique(doc * max(1, len(vocabulary)) + code), max(1, len(vocabulary)))
+        owner, word = np.divmod(np.unique(doc * max(1, words) + code), max(1, words))
         distinct = np.bincount(owner, minlength=len(texts))
-        flat, size = self._rows(*word_buckets(vocabulary))
+        flat, size = known
         start, each = np.cumsum(size) - size, size[word]
         at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(start[word], each)
         names = [structure(*x) for x in zip(texts.to_pylist(), count.tolist(), distinct.tolist(), longest.tolist(), langs, sources)]
@@ -141,15 +151,25 @@ class Features:
         rest, more = self._rows(rest, np.ones(rest.shape, bool))
         owner = np.concatenate([np.repeat(owner, each), np.repeat(np.arange(len(texts)), more)])
         owner, value = np.divmod(np.unique((owner << 31) | np.concatenate([flat[at], rest])), 1 << 31)
-        return value, np.bincount(owner, minlength=len(texts))
+        return value.astype(np.int32), np.bincount(owner, minlength=len(texts))
+
+    def _slice(self, texts: pa.Array, langs: list, sources: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        lists = pc.utf8_split_whitespace(texts)
+        sizes, coded = lists.value_lengths().to_numpy(), lists.flatten().dictionary_encode()
+        del lists
+        code, vocabulary = coded.indices.to_numpy(), coded.dictionary
+        parts = [self._rows(*word_buckets(vocabulary.slice(a, STRETCH))) for a in range(0, max(1, len(vocabulary)), STRETCH)]
+        empty, known = pc.index(vocabulary, "").as_py(), tuple(np.concatenate(x) for x in zip(*parts))
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        for a, b in _cuts(sizes, STRETCH):
+            yield self._stretch(texts.slice(a, b - a), code[at[a] : at[b]].astype(np.int64), sizes[a:b], empty, len(vocabulary), known, langs[a:b], sources[a:b])
 
     def of(self, texts: pa.Array, langs: pa.Array, sources: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The documents' values, sorted in each, one document after the other, and how many each has. Null is empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         langs, sources = langs.to_pylist(), sources.to_pylist()
-        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
-        cuts = [0, *(np.flatnonzero(np.diff(ends // SLICE)) + 1).tolist(), len(texts)]
-        parts = [self._slice(texts.slice(a, b - a), langs[a:b], sources[a:b]) for a, b in zip(cuts, cuts[1:])]
+        cuts = _cuts(pc.binary_length(texts).to_numpy(zero_copy_only=False), SLICE)
+        parts = [x for a, b in cuts for x in self._slice(texts.slice(a, b - a), langs[a:b], sources[a:b])]
         return np.concatenate([v for v, _ in parts]), np.concatenate([n for _, n in parts])
 
 
@@ -244,10 +264,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             value, size = features.of(batch["text"], batch["lang"], batch["source"])
-            raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch["text"].to_pylist()]
-            digest = [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in raw]
+            raw = ((t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch["text"])  # one at a time
+            digest, length = zip(*((xxhash.xxh3_64_intdigest(t) - (1 << 63), len(t)) for t in raw))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(value, pa.int32()))
-            return pa.RecordBatch.from_arrays([batch["id"], batch["good"], pa.array(digest, pa.int64()), pa.array(map(len, raw), pa.int64()), lists], names=["id", "good", "digest", "length", "x"])
+            return pa.RecordBatch.from_arrays([batch["id"], batch["good"], pa.array(digest, pa.int64()), pa.array(length, pa.int64()), lists], names=["id", "good", "digest", "length", "x"])
 
         return each
 
@@ -289,20 +309,26 @@ def classify(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col
         features = Features(machine.buckets)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            value, size = features.of(*(batch.column(i) for i in range(batch.num_columns - 3, batch.num_columns)))
+            value, size = features.of(*(batch.column(i) for i in read))
             cuts = np.concatenate([np.arange(0, len(size), 500), [len(size)]])
             at = np.concatenate([[0], np.cumsum(size)])[cuts]
             p = sigmoid(np.concatenate([machine.scores(value[x:y], size[a:b]) for a, b, x, y in zip(cuts, cuts[1:], at, at[1:])]))
             if carry:
-                return batch.select(list(range(batch.num_columns - 3))).filter(pa.array(p >= threshold))
+                return batch.select(list(range(width))).filter(pa.array(p >= threshold))
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(p >= threshold)], names=["doc_id", "p_good", "keep"])
 
         return each
 
-    parts = _columns(docs, id_col, text_col)
     if not carry:
+        read, parts = [1, 2, 3], _columns(docs, id_col, text_col)
         return map_batches(parts.select("id", "text", "lang", "source"), "doc_id bigint, p_good double, keep boolean", make)
-    extra = [(F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string")).alias(f"__fm_{c}") for c in (text_col, "lang", "source")]
+    width, read, extra = len(docs.columns), [], []
+    for c in (text_col, "lang", "source"):
+        if dict(docs.dtypes).get(c) == "string":  # as it is: texts that go to Python twice take twice the memory
+            read.append(docs.columns.index(c))
+        else:
+            read.append(width + len(extra))
+            extra.append((F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string")).alias(f"__fm_{c}"))
     return map_batches(docs.select("*", *extra), docs.schema, make)
 
 
