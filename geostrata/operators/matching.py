@@ -6,7 +6,7 @@ after (date), topic (null: any), grouping, measure, k and, where it isn't left o
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from geostrata.functions import texts
 from geostrata.functions.spatial import Grid
-from geostrata.operators import aggregate
+from geostrata.operators import aggregate, ranges
 from geostrata.plans.query import WarehouseQuery
 from geostrata.schema import DIMENSIONS, KEY_SEPARATOR, NONE
 
@@ -25,6 +25,12 @@ BROADCAST_QUERIES = 200_000
 SLOTS = 64
 #: Cells of queries, of about their size or smaller.
 CELLS = Grid(64, 64)
+#: Queries from which those that differ in no more than their rectangles are counted together.
+TOGETHER = 64
+#: Queries that are counted together at most; their rectangles are broadcast, some 50 bytes each.
+TOGETHER_QUERIES = 1_000_000
+#: Objects of one key that are put in order in one piece.
+PIECE = 1 << 19
 
 
 def query_table(spark: SparkSession, queries: Iterable[WarehouseQuery]) -> DataFrame:
@@ -82,7 +88,7 @@ class _Meeting:
         q = q.withColumn("join_key", on_queries)
         o = self.objects.withColumn("join_key", on_objects)
         joined = o.alias("o").join((F.broadcast(q) if self.few else q).alias("q"), (F.col("o.join_key") == F.col("q.join_key")) & _residual())
-        self.parts.append(joined.select(F.col("q.query_id").alias("query_id"), group_key().alias("key"), "q.measure", "q.k", F.col("o.id").alias("id"), F.col("o.ts").alias("ts"), F.col("o.tags").alias("tags")))
+        self.parts.append(joined.select(F.col("q.query_id").alias("query_id"), group_key().alias("key"), "q.measure", "q.k", F.col("o.id").alias("id"), F.col("o.ts").alias("ts"), F.col("o.tags").alias("tags"), F.col("o.lat").alias("lat"), F.col("o.lon").alias("lon")))
 
     def by_slot(self, **kinds: bool) -> None:
         """Queries that have no key meet all objects: they are sent to every slot, objects to one."""
@@ -112,7 +118,7 @@ class _Meeting:
             self.by_slot()
         if not self.parts:  # no queries at all
             empty = self.objects.where("false")
-            return empty.select(F.lit(0).cast("bigint").alias("query_id"), F.lit("").alias("key"), F.lit("").alias("measure"), F.lit(0).alias("k"), "id", "ts", "tags")
+            return empty.select(F.lit(0).cast("bigint").alias("query_id"), F.lit("").alias("key"), F.lit("").alias("measure"), F.lit(0).alias("k"), "id", "ts", "tags", "lat", "lon")
         return reduce(DataFrame.unionByName, self.parts)
 
 
@@ -167,3 +173,65 @@ def best_words(freqs: DataFrame) -> DataFrame:
     """(query_id, key, term, freq, rnk), each query with its own k."""
     most = freqs.agg(F.max("k")).first()[0] or 1
     return aggregate.ranked(freqs, ("query_id", "key"), most).where("rnk <= k").select("query_id", "key", "term", "freq", "rnk")
+
+
+Strategy = Callable[[DataFrame, DataFrame], DataFrame]
+_CLASS = ("topic", "keywords", "after", "grouping")
+
+
+class _Together:
+    """Queries of one measure by class: those of a class differ in their rectangles only. In place of the queries the
+    classes, without a rectangle, meet the objects by a strategy; what they find is counted by key for all rectangles of
+    a class together. Classes of few queries are left to the meeting of objects and queries."""
+
+    def __init__(self, objects: DataFrame, queries: DataFrame, strategy: Strategy, measure: str):
+        self.objects, self.strategy, self.spark = objects, strategy, objects.sparkSession
+        closed = F.coalesce("closed", F.lit(False)) if "closed" in queries.columns else F.lit(False)
+        queries = queries.where(F.col("measure") == measure).withColumns({"keywords": F.coalesce("keywords", F.array().cast("array<string>")), "closed": closed})
+        # three small jobs on the queries: what there is, the classes, and their rectangles
+        number, named, ids, self.most = queries.agg(F.count("*"), F.count("query_id"), F.count_distinct("query_id"), F.max("k")).first()
+        known = queries.groupBy(*_CLASS).agg(F.count("*").alias("n")).where(F.col("n") >= TOGETHER).collect() if number == named <= TOGETHER_QUERIES else []
+        self.classes = self.spark.createDataFrame([(i, None, None, None, None, r.keywords, r.after, r.topic, r.grouping, measure, 0, False) for i, r in enumerate(known)], QUERIES)
+        #: An id that comes twice is one query, whose counts are those of both.
+        self.repeated = ids < named
+        self.few, self.rects = queries, {}
+        if known:
+            numbered = F.broadcast(self.classes.select(F.col("query_id").alias("class"), *(F.col(x).alias(f"c_{x}") for x in _CLASS)))
+            same = reduce(lambda a, b: a & b, (F.col(x).eqNullSafe(F.col(f"c_{x}")) for x in _CLASS))
+            self.few = queries.join(numbered, same, "left_anti") if sum(r.n for r in known) < number else None
+            own = queries.join(numbered, same).select("class", F.col("query_id").cast("bigint").alias("query_id"), *(F.col(x).cast("double").alias(x) for x in ("lat_from", "lon_from", "lat_to", "lon_to")), "closed", F.col("k").cast("int").alias("k")).toArrow()
+            of = own["class"].to_numpy()
+            self.rects = {i: ranges.rects(own.filter(of == i)) for i in range(len(known))}
+
+    def found(self, schema: str, run: Callable, *columns: str) -> tuple[DataFrame | None, DataFrame | None]:
+        """What `run` (objects of a key, the key, rectangles, whether these are all objects of the key) returns: of the
+        classes whose keys are one piece each, which is final, and of the others, which is to be summed up."""
+        if not self.rects:
+            return None, None
+        sizes = self.strategy(self.objects, self.classes).groupBy("query_id", "key").agg(F.count("*").alias("n"))
+        large = sizes.where(F.col("n") > PIECE).select("query_id", "key", F.ceil(F.col("n") / PIECE).alias("pieces")).collect()
+        split = set(self.rects) if self.repeated else {r.query_id for r in large}
+        pieces = self.spark.createDataFrame(large, "query_id bigint, key string, pieces bigint")
+        rects = self.spark.sparkContext.broadcast(self.rects)
+
+        def of(classes: set[int], final: bool) -> DataFrame | None:
+            if not classes:
+                return None
+            met = self.strategy(self.objects, self.classes.where(F.col("query_id").isin(*classes))).select("query_id", "key", "id", "lat", "lon", *columns)
+            piece = F.lit(0).cast("bigint")
+            if large and not final:
+                met, piece = met.join(F.broadcast(pieces), ["query_id", "key"], "left"), F.pmod(F.xxhash64("id"), F.coalesce("pieces", F.lit(1).cast("bigint")))
+            rows = met.select(F.col("query_id").alias("class"), "key", piece.alias("piece"), "lat", "lon", *columns)
+            return rows.groupBy("class", "key", "piece").applyInArrow(lambda at, t: run(t, at[1].as_py(), rects.value[at[0].as_py()], final), schema)
+
+        return of(set(self.rects) - split, True), of(split, False)
+
+
+def counted(objects: DataFrame, queries: DataFrame, strategy: Strategy = by_cell) -> DataFrame:
+    """(query_id, key, cnt), as `counts` of what the strategy finds. The work grows with the objects that each class of
+    queries meets, and with queries times keys, not with pairs of object and query."""
+    t = _Together(objects, queries, strategy, "count")
+    final, parts = t.found("query_id bigint, key string, cnt bigint", lambda rows, key, r, final: ranges.counts(rows, key, r))
+    few = counts(strategy(objects, t.few)) if t.few is not None else None
+    rest = aggregate.merged_counts(parts.unionByName(few) if few is not None else parts, ("query_id", "key")) if parts is not None else few
+    return reduce(DataFrame.unionByName, (x for x in (final, rest) if x is not None))
