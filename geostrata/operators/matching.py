@@ -169,9 +169,9 @@ def words(matches: DataFrame) -> DataFrame:
     return matches.where("measure = 'topk'").select("query_id", "k", "key", F.explode("tags").alias("term")).groupBy("query_id", "k", "key", "term").agg(F.count("*").alias("freq"))
 
 
-def best_words(freqs: DataFrame) -> DataFrame:
-    """(query_id, key, term, freq, rnk), each query with its own k."""
-    most = freqs.agg(F.max("k")).first()[0] or 1
+def best_words(freqs: DataFrame, most: int | None = None) -> DataFrame:
+    """(query_id, key, term, freq, rnk), each query with its own k. `most` is the largest k, where it is known."""
+    most = (freqs.agg(F.max("k")).first()[0] if most is None else most) or 1
     return aggregate.ranked(freqs, ("query_id", "key"), most).where("rnk <= k").select("query_id", "key", "term", "freq", "rnk")
 
 
@@ -235,3 +235,16 @@ def counted(objects: DataFrame, queries: DataFrame, strategy: Strategy = by_cell
     few = counts(strategy(objects, t.few)) if t.few is not None else None
     rest = aggregate.merged_counts(parts.unionByName(few) if few is not None else parts, ("query_id", "key")) if parts is not None else few
     return reduce(DataFrame.unionByName, (x for x in (final, rest) if x is not None))
+
+
+def best_counted(objects: DataFrame, queries: DataFrame, strategy: Strategy = by_cell) -> DataFrame:
+    """(query_id, key, term, freq, rnk), as `best_words` of the `words` of what the strategy finds, in the way of `counted`.
+    Where all objects of a key are one piece, only the best terms leave it."""
+    t = _Together(objects, queries, strategy, "topk")
+    final, parts = t.found("query_id bigint, k int, key string, term string, freq bigint, rnk int", ranges.words, "tags")
+    few = words(strategy(objects, t.few)) if t.few is not None else None
+    if parts is not None:
+        parts = parts.drop("rnk").unionByName(few) if few is not None else parts.drop("rnk")
+        few = aggregate.merged_counts(parts, ("query_id", "k", "key", "term"), "freq")
+    out = [final.drop("k")] if final is not None else []
+    return reduce(DataFrame.unionByName, [*out, *([best_words(few, t.most)] if few is not None else [])])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -227,7 +228,7 @@ for _strategy, _match in matching.STRATEGIES.items():
     _add(f"match_by_{_strategy}", lambda s, d, m=_match, n=_strategy: matching.counted(objects(s, d), workload(s, d), m) if n in _TOGETHER else matching.counts(m(objects(s, d), workload(s, d))), _MATCH_COUNTS)
 _add(
     "match_topk",
-    lambda s, d: matching.best_words(matching.words(matching.by_cell(objects(s, d), workload(s, d).withColumns({"measure": F.lit("topk"), "k": F.lit(3)}), Grid(10, 10)))),
+    lambda s, d: matching.best_counted(objects(s, d), workload(s, d).withColumns({"measure": F.lit("topk"), "k": F.lit(3)}), partial(matching.by_cell, grid=Grid(10, 10))),
     f"""{ORACLE}{_WORKLOAD}SELECT query_id, key, term, freq, CAST(rnk AS INTEGER) AS rnk FROM (SELECT *, row_number() OVER (PARTITION BY query_id, key ORDER BY freq DESC, term) AS rnk FROM (
       SELECT query_id, key, term, count(*) AS freq FROM (SELECT q.query_id, {_KEY} AS key, unnest(o.tags) AS term FROM o JOIN q ON {_MATCH}) GROUP BY ALL)) WHERE rnk <= 3""",
 )

@@ -16,7 +16,7 @@ from geostrata.plans.query import WarehouseQuery
 from geostrata.sources.warehouse import objects
 from tests.compare import SMALL, oracle, rows
 
-NAMES = ("match_by_keyword", "match_by_scan", "match_by_topic")
+NAMES = ("match_by_keyword", "match_by_scan", "match_by_topic", "match_topk")
 
 
 @pytest.mark.parametrize("n", [0, 1, ranges.FEW_POINTS, ranges.FEW_POINTS + 1, 64, 300])
@@ -51,8 +51,7 @@ def held(spark):
     return objects(spark, SMALL).withColumn("lat", lat.cast("double")).cache()
 
 
-@pytest.mark.parametrize("how", ["all", "pieces", "some", "repeated"])
-@pytest.mark.parametrize("name", sorted(matching.STRATEGIES))
+@pytest.mark.parametrize("name, how", [("scan", "all"), ("topic", "some"), ("keyword", "some"), ("cell", "some"), ("cell", "pieces"), ("cell", "repeated")])
 def test_together_as_one_by_one(spark, held, name, how, monkeypatch):
     monkeypatch.setattr(matching, "TOGETHER", 4 if how == "some" else 1)
     monkeypatch.setattr(matching, "PIECE", 60 if how in ("pieces", "some") else matching.PIECE)
@@ -61,12 +60,15 @@ def test_together_as_one_by_one(spark, held, name, how, monkeypatch):
         queries = queries.withColumn("query_id", (F.col("query_id") / 2).cast("bigint"))
     got = rows(matching.counted(held, queries, match))
     assert got == rows(matching.counts(match(held, queries))) and len(got[1]) > 50
+    got = rows(matching.best_counted(held, queries, match))
+    assert got == rows(matching.best_words(matching.words(match(held, queries)))) and len(got[1]) > 50
 
 
 def test_no_queries_and_nothing_met(spark, held, monkeypatch):
     monkeypatch.setattr(matching, "TOGETHER", 1)
     assert matching.counted(held, matching.query_table(spark, [])).count() == 0
     assert matching.counted(held, matching.query_table(spark, [WarehouseQuery(topic="no such")])).count() == 0
+    assert matching.best_counted(held, matching.query_table(spark, [])).count() == 0
 
 
 @pytest.fixture(scope="module")
