@@ -223,9 +223,8 @@ for _which, _cond in (("all", "true"), ("border", "border"), ("inside", "NOT bor
 _MATCH = "o.lat >= q.lat_from AND o.lat < q.lat_to AND o.lon >= q.lon_from AND o.lon < q.lon_to AND (q.topic IS NULL OR q.topic = o.topic) AND (q.word IS NULL OR list_contains(list_transform(o.tags, lambda x: lower(x)), q.word))"
 _KEY = "CASE q.grouping WHEN 'country' THEN o.country WHEN 'city day' THEN concat(o.city, chr(1), o.day) WHEN 'topic' THEN o.topic ELSE 'none' END"
 _MATCH_COUNTS = f"{ORACLE}{_WORKLOAD}SELECT q.query_id, {_KEY} AS key, count(*) AS cnt FROM o JOIN q ON {_MATCH} GROUP BY 1, 2"
-_TOGETHER = ("keyword", "scan", "topic")
 for _strategy, _match in matching.STRATEGIES.items():
-    _add(f"match_by_{_strategy}", lambda s, d, m=_match, n=_strategy: matching.counted(objects(s, d), workload(s, d), m) if n in _TOGETHER else matching.counts(m(objects(s, d), workload(s, d))), _MATCH_COUNTS)
+    _add(f"match_by_{_strategy}", lambda s, d, m=_match: matching.counted(objects(s, d), workload(s, d), m), _MATCH_COUNTS)
 _add(
     "match_topk",
     lambda s, d: matching.best_counted(objects(s, d), workload(s, d).withColumns({"measure": F.lit("topk"), "k": F.lit(3)}), partial(matching.by_cell, grid=Grid(10, 10))),

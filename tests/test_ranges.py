@@ -16,7 +16,7 @@ from geostrata.plans.query import WarehouseQuery
 from geostrata.sources.warehouse import objects
 from tests.compare import SMALL, oracle, rows
 
-NAMES = ("match_by_keyword", "match_by_scan", "match_by_topic", "match_topk")
+NAMES = ("match_by_keyword", "match_by_scan", "match_by_topic", "match_topk", "match_by_cell")
 
 
 @pytest.mark.parametrize("n", [0, 1, ranges.FEW_POINTS, ranges.FEW_POINTS + 1, 64, 300])
