@@ -141,6 +141,12 @@ def quadtree_node(lat: Column, lon: Column, level: int) -> Column:
     return node_id(level, g.row(lat), g.col(lon))
 
 
+def nodes_above(leaf: Column, depth: int) -> Column:
+    """The nodes of all levels down to `depth` that hold a node of that level, itself included, as an array."""
+    row, col = (F.shiftright(leaf, by).bitwiseAND(F.lit((1 << MAX_LEVEL) - 1)) for by in (20, 0))
+    return F.array(*(node_id(lv, F.shiftright(row, depth - lv), F.shiftright(col, depth - lv)) for lv in range(depth + 1)))
+
+
 def node_parts(node: int) -> tuple[int, int, int]:
     return node >> 40, (node >> 20) & ((1 << 20) - 1), node & ((1 << 20) - 1)
 

@@ -118,7 +118,12 @@ def lattice(objects: DataFrame, extra: tuple[str, ...] = (), groups: tuple[str,
     Objects are first aggregated by the finest levels; only that result is multiplied by the number of groupings.
     """
     names = [*SPACE, *TIME, "topic"]
-    base = objects.groupBy(*extra, *names).agg(F.count("*").alias("n"))
+    return grouped(objects.groupBy(*extra, *names).agg(F.count("*").alias("n")), extra, groups)
+
+
+def grouped(base: DataFrame, extra: tuple[str, ...], groups: tuple[str, ...]) -> DataFrame:
+    """The same from counts `n` by the finest levels that the groupings have."""
+    names = [*SPACE, *TIME, "topic"]
     sets = [[*(F.col(x) for x in extra), *(F.col(x) for x in levels_of(g))] for g in groups]
     marks = {x: F.grouping(x) for x in names}
     if set(groups) != set(GROUPS):  # every level needs to be in some set

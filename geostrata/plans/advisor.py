@@ -6,14 +6,15 @@ import heapq
 from collections import defaultdict
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geostrata.functions import spatial
+from geostrata.functions import spatial, times
 from geostrata.functions.spatial import Grid
 from geostrata.operators import aggregate
-from geostrata.schema import GROUPS, is_ancestor
+from geostrata.schema import GROUPS, is_ancestor, levels_of
 
 #: Rows of all views together.
 BUDGET = 120_000
@@ -52,11 +53,38 @@ def group_names() -> F.Column:
     return F.create_map(*pairs)
 
 
-def key_statistics(objects: DataFrame, place: str) -> DataFrame:
-    """(place, grouping, objects, cardinality) of all groupings, from one scan; `place` is a column of the objects."""
-    counts = aggregate.lattice(objects, (place,))
+_FINEST = ("country", "city", "hour", "topic")
+
+
+def finest(objects: DataFrame, place: str) -> DataFrame:
+    """(place, country, city, hour, topic, n): what all statistics follow from."""
+    return objects.groupBy(place, *_FINEST).agg(F.count("*").alias("n"))
+
+
+def key_statistics(fine: DataFrame, place: str) -> DataFrame:
+    """(place, grouping, objects, cardinality) of all groupings, from counts `n` by place, country, city, hour and topic.
+
+    Keys that have the hour are told apart within a place and hour, so one shuffle serves them all: only the counts of
+    days, which are few, are multiplied by the groupings.
+    """
+    keys, n = (place, "hour"), F.sum("n").alias("n")
+    fine = fine.repartition(*keys).groupBy(*keys, "country", "city", "topic").agg(n)
+
+    def named(rows: DataFrame, **cardinalities: str) -> DataFrame:
+        each = F.array(*(F.struct(F.lit(g.replace("_", " ")).alias("grouping"), F.col(c).alias("cardinality")) for g, c in cardinalities.items()))
+        return rows.select(place, "n", F.explode(each).alias("x")).select(place, "x.grouping", F.col("n").alias("objects"), "x.cardinality")
+
+    def of_space(x: str) -> DataFrame:
+        rows = fine.groupBy(*keys, x, "topic").agg(n).groupBy(*keys, x).agg(F.count("*").alias("topics"), n)
+        return rows.groupBy(*keys).agg(F.sum("topics").alias("topics"), F.count("*").alias("spaces"), n).groupBy(place).agg(F.sum("topics").alias("topics"), F.sum("spaces").alias("spaces"), F.count("*").alias("hours"), n)
+
+    topics = fine.groupBy(*keys, "topic").agg(n).groupBy(place).agg(F.count("*").alias("topics"), n)
+    parts = [named(of_space("city"), city_hour_topic="topics", city_hour="spaces", hour="hours"), named(of_space("country"), country_hour_topic="topics", country_hour="spaces"), named(topics, hour_topic="topics")]
+    day = fine.groupBy(place, "country", "city", times.rolled_up(F.col("hour"), "hour", "day").alias("day"), "topic").agg(n)
+    days = day.withColumns({x: times.rolled_up(F.col("day"), "day", x) for x in ("week", "month")})
+    counts = aggregate.grouped(days, (place,), tuple(g for g in GROUPS if "hour" not in levels_of(g)))
     by_id = counts.groupBy(place, "grp").agg(F.sum("cnt").alias("objects"), F.count("*").alias("cardinality"))
-    return by_id.select(place, group_names()[F.col("grp")].alias("grouping"), "objects", "cardinality")
+    return reduce(DataFrame.unionByName, [*parts, by_id.select(place, group_names()[F.col("grp")].alias("grouping"), "objects", "cardinality")])
 
 
 def queries_by_cell(queries: DataFrame, grid: Grid) -> DataFrame:
@@ -77,14 +105,14 @@ def queries_by_node(queries: DataFrame, depth: int) -> DataFrame:
 def candidates(objects: DataFrame, queries: DataFrame, grid: Grid) -> DataFrame:
     """(cell, grouping, objects, cardinality, queries, with_view, without_view, worth_it) of the cells with objects."""
     placed = objects.where(spatial.in_domain(F.col("lat"), F.col("lon"))).withColumn("cell", grid.cell(F.col("lat"), F.col("lon")))
-    return costed(key_statistics(placed, "cell").join(queries_by_cell(queries, grid), ["cell", "grouping"], "left"))
+    return costed(key_statistics(finest(placed, "cell"), "cell").join(queries_by_cell(queries, grid), ["cell", "grouping"], "left"))
 
 
 def node_candidates(objects: DataFrame, queries: DataFrame, depth: int) -> DataFrame:
     """The same by quadtree node, on all levels."""
-    place = F.explode(F.array(*(spatial.quadtree_node(F.col("lat"), F.col("lon"), lv) for lv in range(depth + 1))))
-    placed = objects.where(spatial.in_domain(F.col("lat"), F.col("lon"))).withColumn("node", place)
-    return costed(key_statistics(placed, "node").join(queries_by_node(queries, depth), ["node", "grouping"], "left"))
+    placed = objects.where(spatial.in_domain(F.col("lat"), F.col("lon"))).withColumn("node", spatial.quadtree_node(F.col("lat"), F.col("lon"), depth))
+    fine = finest(placed, "node").withColumn("node", F.explode(spatial.nodes_above(F.col("node"), depth)))
+    return costed(key_statistics(fine, "node").join(queries_by_node(queries, depth), ["node", "grouping"], "left"))
 
 
 def costed(stats: DataFrame) -> DataFrame:

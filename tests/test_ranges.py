@@ -10,8 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from geostrata import registry
+from geostrata.functions import spatial
 from geostrata.functions.spatial import Rect
-from geostrata.operators import matching, ranges
+from geostrata.operators import aggregate, matching, ranges
+from geostrata.plans import advisor
 from geostrata.plans.query import WarehouseQuery
 from geostrata.sources.warehouse import objects
 from tests.compare import SMALL, oracle, rows
@@ -93,3 +95,14 @@ def test_objects_meet_classes(spark, many, name, monkeypatch):
     monkeypatch.setattr(matching._Meeting, "__init__", counting)
     assert rows(registry.queries()[name](spark, many)) == oracle(registry.oracle_sql()[name], many)
     assert seen and max(seen) <= 16
+
+
+def test_statistics_of_nodes(spark):
+    """All groupings of all nodes as the lattice has them; what has the hour is not multiplied by the groupings."""
+    held = objects(spark, SMALL).withColumn("city", F.when(F.col("id") % 7 > 0, F.col("city")))
+    placed = held.withColumn("node", F.explode(F.array(*(spatial.quadtree_node(F.col("lat"), F.col("lon"), lv) for lv in range(3)))))
+    want = aggregate.lattice(placed, ("node",)).groupBy("node", "grp").agg(F.sum("cnt").alias("objects"), F.count("*").alias("cardinality"))
+    got = advisor.node_candidates(held, registry.workload(spark, SMALL), 2)
+    assert rows(got.select("node", "grouping", "objects", "cardinality")) == rows(want.select("node", advisor.group_names()[F.col("grp")].alias("grouping"), "objects", "cardinality"))
+    expanded = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Expand" in x]
+    assert expanded and not any("hour#" in x for x in expanded)
